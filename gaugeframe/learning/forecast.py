@@ -22,7 +22,7 @@ LAG_FEATURES = [f"lag_{k}" for k in range(1, DEPTH + 1)] + [f"roll_mean_{w}" for
 
 
 def fit_lag_model(
-    ts: DataFrame, keys: Sequence[str] = (), kind: str = "boosted", trees: int = 100, depth: int = 3, rate: float = 0.1
+    ts: DataFrame, keys: Sequence[str] = (), kind: str = "forest", trees: int = 100, depth: int = 3, rate: float = 0.1
 ) -> PipelineModel:
     """One model of the next value from lags and preceding means, pooled over all series."""
     frame = lag_features(ts, range(1, DEPTH + 1), MEANS, keys)

@@ -6,9 +6,11 @@ error figures per model reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -17,10 +19,12 @@ from pyspark.sql import functions as F
 
 from gaugeframe.operators.aggregation import grouped
 from gaugeframe.operators.cleaning import medians, numeric_columns
+from gaugeframe.session import cut_lineage
 
 PREDICTION = "prediction"
 VECTOR = "_vector"
 BUCKETS = 10_000
+ROWS_PER_PARTITION = 500_000
 
 
 def feature_columns(df: DataFrame, target: str, features: Sequence[str] | None = None) -> list[str]:
@@ -53,7 +57,7 @@ def linear_fit(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataF
     return grouped(df, keys, F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 
 
-def regressor(kind: str, trees: int = 100, depth: int = 5, rate: float = 0.1, bins: int = 64, seed: int = 42):
+def regressor(kind: str, trees: int = 100, depth: int = 8, rate: float = 0.1, bins: int = 64, seed: int = 42):
     """``linear``, ``forest`` or ``boosted``; forests look at all features in every split."""
     columns = {"featuresCol": VECTOR, "predictionCol": PREDICTION}
     if kind == "linear":
@@ -67,12 +71,31 @@ def regressor(kind: str, trees: int = 100, depth: int = 5, rate: float = 0.1, bi
     raise ValueError(f"unknown model kind {kind!r}")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Even partitions of bounded size, however few or many files the rows come from."""
+    count = rows.count()
+    if count <= ROWS_PER_PARTITION // 50:
+        return rows.coalesce(1)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, math.ceil(count / ROWS_PER_PARTITION)))
+
+
 def fit(df: DataFrame, target: str, features: Sequence[str], kind: str, **params) -> PipelineModel:
-    """Fit on the rows with a known target; missing features have to be filled before."""
+    """Fit on the rows with a known target; missing features have to be filled before.
+
+    Tree models pass over their rows many times, so these are spread and kept for the fit.
+    """
     learner = regressor(kind, **params).setLabelCol(target)
     assembler = VectorAssembler(inputCols=list(features), outputCol=VECTOR)
     rows = df.select(*features, F.col(target).cast("double").alias(target)).dropna(subset=[target])
-    return Pipeline(stages=[assembler, learner]).fit(rows)
+    pipeline = Pipeline(stages=[assembler, learner])
+    if kind == "linear":
+        return pipeline.fit(rows)
+    kept = _spread(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return pipeline.fit(kept)
+    finally:
+        kept.unpersist()
 
 
 def inputs_of(model: PipelineModel) -> list[str]:
@@ -142,9 +165,11 @@ def compare_models(
     from all rows if asked for. Figures are ordered by RMSE.
     """
     features = feature_columns(df, target, features)
-    flagged = with_test_flag(df, bucket, fraction)
+    # Written once: the medians, every fit and the evaluation read the few columns they share.
+    used = [F.col(c).cast("double").alias(c) for c in dict.fromkeys([*features, target])]
+    flagged = cut_lineage(with_test_flag(df, bucket, fraction).select(*used, "is_test"))
     train = flagged.where(~F.col("is_test"))
-    filled = fill_features(flagged, medians(df if medians_of_all_rows else train, features))
+    filled = fill_features(flagged, medians(flagged if medians_of_all_rows else train, features))
     train, test = filled.where(~F.col("is_test")), filled.where("is_test")
 
     models = {

@@ -58,13 +58,14 @@ def curve_by_period(
     profit: str,
     choice: Mapping[str, object],
     rule: str = "M",
+    kind: str = "forest",
     trees: int = 100,
-    depth: int = 3,
+    depth: int = 10,
 ) -> PriceCurve:
-    """Mean price and total profit per period of the chosen product and partner, boosted trees
-    fitted to them, and the predicted profit over the observed price range."""
+    """Mean price and total profit per period of the chosen product and partner, a forest or
+    boosted trees fitted to them, and the predicted profit over the observed price range."""
     history = resample_many(where_equal(df, choice), date_col, rule, {price: "mean", profit: "sum"})
-    model = fit(history, profit, [price], "boosted", trees=trees, depth=depth)
+    model = fit(history, profit, [price], kind, trees=trees, depth=depth, bins=128)
     return PriceCurve(model, history, _predicted(price_grid(history, price), model))
 
 
@@ -76,7 +77,7 @@ def curve_by_row(
     price_range: tuple[float, float] | None = None,
     model: PipelineModel | None = None,
     trees: int = 150,
-    depth: int = 5,
+    depth: int = 10,
 ) -> PriceCurve:
     """The same from single rows, with a forest or a given (saved) model.
 

@@ -137,8 +137,8 @@ add("ml_11_feature_importance", "sales", _importances)
 CHOICE = {"sku": "Brand#21", "dealer": "BUILDING"}
 
 
-def _by_period(df: DataFrame, rule: str = "M") -> po.PriceCurve:
-    return po.curve_by_period(df, "order_date", "list_price", "profit", CHOICE, rule)
+def _by_period(df: DataFrame, rule: str = "M", **params) -> po.PriceCurve:
+    return po.curve_by_period(df, "order_date", "list_price", "profit", CHOICE, rule, **params)
 
 
 def _by_row(df: DataFrame) -> po.PriceCurve:
@@ -146,7 +146,8 @@ def _by_row(df: DataFrame) -> po.PriceCurve:
 
 
 add("po_01_curve_by_period", "sales", lambda df: _by_period(df).curve)
-add("po_01_best_by_period", "sales", lambda df: po.best_price(_by_period(df, "Y").curve, "list_price", "pred_profit"))
+add("po_01_curve_boosted", "sales", lambda df: _by_period(df, kind="boosted", depth=3).curve)
+add("po_01_best_by_year", "sales", lambda df: po.best_price(_by_period(df, "Y").curve, "list_price", "pred_profit"))
 add("po_02_curve_by_row", "sales", lambda df: _by_row(df).curve)
 add("po_03_reference_points", "sales", lambda df: po.reference_points(_by_row(df), "list_price", SALES_ROW))
 add(
@@ -186,12 +187,13 @@ def _monthly(df: DataFrame, keys: list[str]) -> DataFrame:
     return tser.resample(df, "order_date", "quantity", "M", keys=keys)
 
 
-def _recursive(df: DataFrame) -> DataFrame:
+def _recursive(df: DataFrame, kind: str) -> DataFrame:
     series = _monthly(df, ["sku"])
-    return fc.recursive_forecast(series, fc.fit_lag_model(series, ["sku"]), ["sku"])
+    return fc.recursive_forecast(series, fc.fit_lag_model(series, ["sku"], kind), ["sku"])
 
 
-add("fc_02_recursive_forecast", "sales", _recursive)
+add("fc_02_recursive_forecast", "sales", lambda df: _recursive(df, "forest"))
+add("fc_02_recursive_boosted", "sales", lambda df: _recursive(df, "boosted"))
 add("fc_03_trend_season_forecast", "sales", lambda df: fc.trend_season_forecast(_monthly(df, ["sku"]), ["sku"]))
 add(
     "fc_03_multiplicative_whole_table", "sales",
