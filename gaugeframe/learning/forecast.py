@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,23 +30,26 @@ def fit_lag_model(
 
 
 def _last_values(ts: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per series: last values (newest first), sum, count, last date, last gap in days."""
-    known = ts.dropna(subset=["ds", "y"])
-    order = Window.partitionBy(*keys).orderBy(F.desc("ds"))
-    tail = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= DEPTH)
-    tails = tail.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("ds", F.col("y").cast("double").alias("y"))), asc=False).alias("_tail")
+    """One row per series: last values (newest first), sum, count, last date, last gap in days.
+
+    A series is gathered as a whole: it holds one row per calendar period.
+    """
+    point = F.struct("ds", F.col("y").cast("double").alias("y"))
+    series = (
+        ts.dropna(subset=["ds", "y"])
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(point), asc=False).alias("_points"))
+        .where(F.size("_points") > 0)
     )
-    sums = known.groupBy(*keys).agg(F.sum(F.col("y").cast("double")).alias("total"), F.count("y").alias("n"))
-    joined = tails.join(sums, keys) if keys else tails.join(sums, F.lit(True))
-    before = F.try_element_at("_tail", F.lit(2))["ds"]
-    return joined.select(
+    newest, before = F.col("_points")[0]["ds"], F.try_element_at("_points", F.lit(2))["ds"]
+    values = F.transform("_points", lambda r: r["y"])
+    return series.select(
         *keys,
-        F.transform("_tail", lambda r: r["y"]).alias("recent"),
-        "total",
-        "n",
-        F.col("_tail")[0]["ds"].alias("last"),
-        F.coalesce(F.date_diff(F.col("_tail")[0]["ds"], before), F.lit(1)).alias("gap"),
+        F.slice(values, 1, DEPTH).alias("recent"),
+        F.aggregate(values, F.lit(0.0), lambda a, b: a + b).alias("total"),
+        F.size("_points").alias("n"),
+        newest.alias("last"),
+        F.coalesce(F.date_diff(newest, before), F.lit(1)).alias("gap"),
         F.array().cast("array<double>").alias("yhats"),
     )
 

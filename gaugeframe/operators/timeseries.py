@@ -96,8 +96,13 @@ def future_by_gap(ts: DataFrame, periods: int, keys: Sequence[str] = ()) -> Data
 
 
 def trend(df: DataFrame, date_col: str, metric: str) -> DataFrame:
-    """One metric in order of its date."""
-    return df.select(date_col, metric).orderBy(date_col, metric)
+    """One metric in order of its date.
+
+    Rows equal in both are told apart by a number, or the sort could not split a value that
+    fills a large part of the table.
+    """
+    numbered = df.select(date_col, metric).withColumn("_number", F.monotonically_increasing_id())
+    return numbered.orderBy(date_col, metric, "_number").drop("_number")
 
 
 def _lag_columns(value: str, depth: int, windows: Sequence[int], order: Window) -> dict[str, Column]:

@@ -98,7 +98,7 @@ def _one_model(df: DataFrame, kind: str, **params) -> DataFrame:
 
 
 add("ml_04_forest", "sales", lambda df: _one_model(df, "forest", trees=100))
-add("ml_05_boosted_trees", "sales", lambda df: _one_model(df, "boosted", trees=100, depth=3, rate=0.1))
+add("ml_05_boosted_trees", "sales", lambda df: _one_model(df, "boosted", trees=20, depth=3, rate=0.1))
 add("ml_07_model_comparison", "sales", lambda df: ml.compare_models(df, TARGET, _row_bucket(), FEATURES).figures)
 add(
     "top_06_models_by_rmse", "sales",
@@ -146,7 +146,7 @@ def _by_row(df: DataFrame) -> po.PriceCurve:
 
 
 add("po_01_curve_by_period", "sales", lambda df: _by_period(df).curve)
-add("po_01_curve_boosted", "sales", lambda df: _by_period(df, kind="boosted", depth=3).curve)
+add("po_01_curve_boosted", "sales", lambda df: _by_period(df, kind="boosted", trees=20, depth=3).curve)
 add("po_01_best_by_year", "sales", lambda df: po.best_price(_by_period(df, "Y").curve, "list_price", "pred_profit"))
 add("po_02_curve_by_row", "sales", lambda df: _by_row(df).curve)
 add("po_03_reference_points", "sales", lambda df: po.reference_points(_by_row(df), "list_price", SALES_ROW))
@@ -189,7 +189,7 @@ def _monthly(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def _recursive(df: DataFrame, kind: str) -> DataFrame:
     series = _monthly(df, ["sku"])
-    return fc.recursive_forecast(series, fc.fit_lag_model(series, ["sku"], kind), ["sku"])
+    return fc.recursive_forecast(series, fc.fit_lag_model(series, ["sku"], kind, trees=100 if kind == "forest" else 20), ["sku"])
 
 
 add("fc_02_recursive_forecast", "sales", lambda df: _recursive(df, "forest"))
