@@ -219,22 +219,27 @@ def mean_and_first(df: DataFrame, metric: str, order_by: Sequence[str]) -> DataF
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlations as (variable, other, correlation) rows, each over the rows known on
-    both sides; null where a side does not vary. All pairs come from one aggregation."""
-    def pair(a: str, b: str) -> Column:
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        both = x.isNotNull() & y.isNotNull()
-        spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-        return F.try_divide(F.covar_pop(x, y), spread)
+    both sides; null where a side does not vary.
 
+    Pairs of columns become rows of one grouped aggregation, which keeps its compiled code
+    small for any number of pairs and sends one row per pair and task over the network.
+    """
     pairs = list(combinations(columns, 2)) + [(c, c) for c in columns]
-    row = df.agg(*[pair(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    cells = []
-    for a, b in pairs:
-        for x, y in {(a, b), (b, a)}:
-            cells.append(
-                F.struct(F.lit(x).alias("variable"), F.lit(y).alias("other"), F.col(f"`{a}|{b}`").alias("correlation"))
-            )
-    return row.select(F.inline(F.array(*cells)))
+    number = {pair: i for i, pair in enumerate(pairs)}
+    cells = [
+        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for (a, b), i in number.items()
+    ]
+    both = df.select(F.inline(F.array(*cells))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    spread = F.stddev_pop("x") * F.stddev_pop("y")
+    found = both.groupBy("pair").agg(F.try_divide(F.covar_pop("x", "y"), spread).alias("correlation"))
+    names = [
+        F.struct(F.lit(x).alias("variable"), F.lit(y).alias("other"), F.lit(number[pair]).alias("pair"))
+        for pair in pairs
+        for x, y in sorted({pair, pair[::-1]})
+    ]
+    asked = df.sparkSession.range(1).select(F.inline(F.array(*names)))
+    return asked.join(found, "pair", "left").drop("pair")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:

@@ -44,7 +44,11 @@ def _join_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str], add: Seq
 def fill_from_neighbours(
     df: DataFrame, column: str, order_by: Sequence[str], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Missing values take the last known value before them, else the first known one after."""
+    """Missing values take the last known value before them, else the first known one after.
+
+    Only rows before a key's first known value lack an earlier one, and all of them take that
+    value; so the backward step needs one value per key and no window of its own.
+    """
     keys, order_by = list(keys), list(order_by)
     rows = in_chunks(df, keys, order_by)
     value, order = F.col(column), F.struct(*order_by)
@@ -62,21 +66,16 @@ def fill_from_neighbours(
         .over(across.rowsBetween(Window.unboundedPreceding, -1))
         .alias("_before"),
         F.first("_first", ignorenulls=True)
-        .over(across.rowsBetween(1, Window.unboundedFollowing))
-        .alias("_after"),
+        .over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        .alias("_start"),
     )
 
-    within = Window.partitionBy(*keys, CHUNK).orderBy(*order_by)
-    filled = F.coalesce(
-        F.last(value, ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)),
-        F.col("_before"),
-        F.first(value, ignorenulls=True).over(within.rowsBetween(0, Window.unboundedFollowing)),
-        F.col("_after"),
-    )
+    within = Window.partitionBy(*keys, CHUNK).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+    filled = F.coalesce(F.last(value, ignorenulls=True).over(within), F.col("_before"), F.col("_start"))
     return (
-        _join_carry(rows, carry, keys, ["_before", "_after"])
+        _join_carry(rows, carry, keys, ["_before", "_start"])
         .withColumn(column, filled)
-        .drop("_before", "_after", CHUNK)
+        .drop("_before", "_start", CHUNK)
     )
 
 

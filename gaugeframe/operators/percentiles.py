@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeframe.operators.ordered import CHUNK, in_chunks
 
-# The built-in aggregate keeps a count for every distinct value in one task.
-BUILT_IN_DISTINCT_VALUES = 200_000
+# The built-in aggregate keeps a count for every distinct value in one task: a bound on the
+# known values of all columns of a call together, some 50 MB.
+BUILT_IN_VALUES = 500_000
 
 
 def unpivoted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -23,23 +24,21 @@ def exact_percentiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
-    built_in_limit: int = BUILT_IN_DISTINCT_VALUES,
+    built_in_limit: int = BUILT_IN_VALUES,
+    counts: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """(column, probability, value) with one row for each pair; null for an empty column.
 
-    A first pass estimates the distinct values of each column. Columns below the limit use
-    the built-in aggregate, the others are counted by value and ranked across range chunks.
+    Known values are counted first, unless their number is given. Up to the limit the built-in
+    aggregate is used; beyond it values are counted and ranked across range chunks.
     """
     columns = list(columns)
-    seen = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(c) for c in columns]).first()
-    few = [c for c in columns if seen[c] <= built_in_limit]
-    many = [c for c in columns if seen[c] > built_in_limit]
-    parts = []
-    if few:
-        parts.append(_built_in(df, few, probabilities))
-    if many:
-        parts.append(_ranked(df, many, probabilities))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    known = counts or df.agg(*[F.count(f"`{c}`").alias(c) for c in columns]).first()
+    if sum(known[c] for c in columns) <= built_in_limit:
+        return _built_in(df, columns, probabilities)
+    ranked = _ranked(df, [c for c in columns if known[c]], probabilities)
+    empty = [c for c in columns if not known[c]]
+    return ranked.unionByName(_built_in(df, empty, probabilities)) if empty else ranked
 
 
 def _built_in(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeframe.operators.cleaning import columns_of, numeric_columns, text_columns
-from gaugeframe.operators.percentiles import BUILT_IN_DISTINCT_VALUES, exact_percentiles
+from gaugeframe.operators.percentiles import BUILT_IN_VALUES, exact_percentiles
 
 
 def preview(df: DataFrame, order_by: Sequence[str], rows: int = 5) -> DataFrame:
@@ -17,40 +17,46 @@ def preview(df: DataFrame, order_by: Sequence[str], rows: int = 5) -> DataFrame:
     return df.orderBy(*order_by).limit(rows)
 
 
-def _per_column(df: DataFrame, columns: Sequence[str], aggregates: dict[str, object]) -> DataFrame:
-    """One aggregation over all columns, turned into one row per column."""
-    row = df.agg(
-        *[make(F.col(f"`{c}`")).alias(f"{i}_{name}") for i, c in enumerate(columns) for name, make in aggregates.items()]
-    )
-    cells = [
-        F.struct(F.lit(c).alias("column"), *[F.col(f"{i}_{name}").alias(name) for name in aggregates])
-        for i, c in enumerate(columns)
-    ]
-    return row.select(F.inline(F.array(*cells)))
-
-
 def describe(
     df: DataFrame,
     columns: Sequence[str] | None = None,
-    built_in_limit: int = BUILT_IN_DISTINCT_VALUES,
+    built_in_limit: int = BUILT_IN_VALUES,
 ) -> DataFrame:
-    """Count, mean, sample deviation, minimum, quartiles and maximum, one row per numeric column."""
+    """Count, mean, sample deviation, minimum, quartiles and maximum, one row per numeric column.
+
+    Two passes: the moments, then the quartiles.
+    """
     columns = list(columns or numeric_columns(df))
-    moments = _per_column(df, columns, {
+    moments = {
         "count": F.count,
-        "mean": lambda c: F.avg(c.cast("double")),
-        "std": lambda c: F.stddev_samp(c.cast("double")),
-        "min": lambda c: F.min(c.cast("double")),
-        "max": lambda c: F.max(c.cast("double")),
-    })
-    quartiles = exact_percentiles(df, columns, [0.25, 0.5, 0.75], built_in_limit)
+        "mean": F.avg,
+        "std": F.stddev_samp,
+        "min": F.min,
+        "max": F.max,
+    }
+    values = [F.col(f"`{c}`").cast("double") for c in columns]
+    first = df.agg(*[make(v) for v in values for make in moments.values()]).first()  # one row
+    width = len(moments)
+    per_column = {c: first[i * width : (i + 1) * width] for i, c in enumerate(columns)}
+    quartiles = exact_percentiles(
+        df, columns, [0.25, 0.5, 0.75], built_in_limit, {c: m[0] for c, m in per_column.items()}
+    )
 
     def at(p: float) -> Column:
         return F.max(F.when(F.col("probability") == p, F.col("value")))
 
+    def of_column(i: int) -> Column:
+        stored = F.create_map(*[F.lit(x) for c, m in per_column.items() for x in (c, m[i])])
+        return F.try_element_at(stored, F.col("column"))
+
     wide = quartiles.groupBy("column").agg(at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"))
-    return moments.join(wide, "column", "left").select(
-        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
+    return wide.select(
+        "column",
+        *[of_column(i).alias(n) for i, n in enumerate(("count", "mean", "std", "min"))],
+        "p25",
+        "p50",
+        "p75",
+        of_column(4).alias("max"),
     )
 
 
