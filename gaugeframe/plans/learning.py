@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +12,7 @@ from gaugeframe.learning import pricing as po
 from gaugeframe.operators import timeseries as tser
 from gaugeframe.plans.registry import add, rounded
 from gaugeframe.plans.views import SALES_ROW
-from gaugeframe.session import ensure_checkpoint_dir
+from gaugeframe.session import shared_folder
 
 TARGET, FEATURES = "profit", ["list_price", "quantity"]
 _BUCKET_SQL = f"({' + '.join(SALES_ROW)}) % 100 < 20"
@@ -24,12 +22,6 @@ def _row_bucket():
     return ml.row_bucket(SALES_ROW)
 
 
-def _model_folder(df: DataFrame) -> str:
-    """A new folder for models below the session's shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return f"{df.sparkSession.sparkContext.getCheckpointDir()}/models-{uuid.uuid4().hex}"
-
-
 def _features(df: DataFrame) -> DataFrame:
     names = ml.feature_columns(df.drop(*SALES_ROW), TARGET)
     known = df.dropna(subset=names)
@@ -108,13 +100,13 @@ add(
 
 def _score(df: DataFrame) -> DataFrame:
     model = ml.fit(df.dropna(subset=FEATURES), TARGET, FEATURES, "linear")
-    folder = _model_folder(df)
+    folder = shared_folder(df.sparkSession, "models")
     ml.save_model(model, folder, "profit_linear")
     return ml.score(df, ml.load_model(folder, "profit_linear")).select(*SALES_ROW, "list_price", ml.PREDICTION)
 
 
 def _with_saved(df: DataFrame) -> DataFrame:
-    known, folder = df.dropna(subset=FEATURES), _model_folder(df)
+    known, folder = df.dropna(subset=FEATURES), shared_folder(df.sparkSession, "models")
     ml.save_model(ml.fit(known, TARGET, ["quantity"], "linear"), folder, "profit_by_quantity")
     ml.save_model(ml.fit(known, TARGET, ["row_part"], "linear"), folder, "profit_by_part")
     saved = {n: ml.load_model(folder, n) for n in ml.saved_model_names(df.sparkSession, folder)}

@@ -27,7 +27,8 @@ from gaugeframe.operators import profiling as prf
 from gaugeframe.operators import selection as sel
 from gaugeframe.plans.registry import add, add_over_tables, rounded
 from gaugeframe.plans.views import PARTS, PERIOD, SALES_ROW
-from gaugeframe.sources.flatfiles import read_table
+from gaugeframe.session import shared_folder
+from gaugeframe.sources.flatfiles import read_csv, read_table, write_csv
 
 BETWEEN = f"BETWEEN DATE '{PERIOD[0]}' AND DATE '{PERIOD[1]}'"
 IN_WEST = "WHO_region = 'EUROPE' AND Country IN ('NATION_3', 'NATION_8')"
@@ -38,6 +39,21 @@ REGION_GROUP = (
 BOTH = ["ASIA", "West Europe", "East Europe"]
 
 
+# Files
+
+def _csv_round_trip(df: DataFrame) -> DataFrame:
+    """Write the table as CSV to the shared folder and read it back with its schema."""
+    path = shared_folder(df.sparkSession, "csv")
+    write_csv(df, path)
+    return read_csv(df.sparkSession, path, df.schema)
+
+
+add(
+    "src_01_snk_01_csv_round_trip", "weather", _csv_round_trip,
+    'SELECT row_key, Date, City, Temperature, Humidity, "Wind Speed", Rainfall FROM weather',
+)
+
+
 # Cleaning
 
 def _dates_as_text(spark: SparkSession, sf_dir: str, with_bad: bool) -> DataFrame:
