@@ -46,8 +46,9 @@ def describe(
         return F.max(F.when(F.col("probability") == p, F.col("value")))
 
     def of_column(i: int) -> Column:
-        stored = F.create_map(*[F.lit(x) for c, m in per_column.items() for x in (c, m[i])])
-        return F.try_element_at(stored, F.col("column"))
+        kind = "bigint" if i == 0 else "double"
+        stored = [x for c, m in per_column.items() for x in (F.lit(c), F.lit(m[i]).cast(kind))]
+        return F.try_element_at(F.create_map(*stored), F.col("column"))
 
     wide = quartiles.groupBy("column").agg(at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"))
     return wide.select(

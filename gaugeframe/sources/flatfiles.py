@@ -32,7 +32,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     """Header CSV as a DataFrame, NaN read as missing.
 
     Give a schema for known files: inference costs a second scan of the whole input and is
-    meant for exploring unknown ones. Columns are matched to the schema by header name.
+    meant for exploring unknown ones. The header has to name the schema's columns in order.
     """
     reader = spark.read.option("header", True)
     if schema is None:
