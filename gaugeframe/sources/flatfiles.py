@@ -41,9 +41,18 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return nan_to_null(reader.schema(schema).option("enforceSchema", False).csv(path))
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """One Parquet table of a data directory."""
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    """One Parquet table of a data directory.
+
+    Finding a schema in file footers is a Spark job of its own, so it is done once per path.
+    """
+    path = f"{directory}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
