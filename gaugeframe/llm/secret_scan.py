@@ -143,6 +143,7 @@ def as_text(spans: Column) -> Column:
 
 def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     """Counts, digest of the base spans and all spans of each row of :func:`scan`."""
-    count = {f"n_{k}": F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long") for k in KINDS[:3]}
+    kinds = F.transform("spans", lambda s: s["kind"])
+    count = {f"n_{k}": F.size(kinds) - F.size(F.array_remove(kinds, k)) for k in KINDS[:3]}
     base = as_text(F.filter("spans", lambda s: s["kind"] != "entropy"))
-    return scanned.select(key, *[v.alias(k) for k, v in count.items()], F.sha2(base, 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+    return scanned.select(key, *[v.cast("long").alias(k) for k, v in count.items()], F.sha2(base, 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
