@@ -2,8 +2,8 @@
 
 Each source gets a token budget: shares by weight, at most ``epochs`` times its own size, the excess shared again by
 weight. It is filled with whole epochs first; for the rest, documents are ordered by the exponential key -ln(u) / w (u from
-a hash of the id, w the document's quality weight) and taken up to the prefix sum nearest to the budget. Documents are
-never cut, so a source misses its target by at most half of one document.
+a hash of the id, w the document's quality weight) and taken while their prefix sum is within the budget. Documents are
+never cut: where the sum would pass the budget, later documents that still fit fill it up.
 
 The prefix sums run over key buckets first (one row per source and bucket) and over documents only within the one bucket in
 which the budget ends, so no task ever sorts a whole source, however large its share of the rows.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from gaugeframe.llm import words as W
 from gaugeframe.llm.common import written
 
-#: Documents per key bucket, about; the result doesn't depend on it.
+#: Documents per key bucket, about: those in the last bucket of a budget can fill it up.
 BUCKET_ROWS = 10_000
 LEAST_WEIGHT = 0.05
 
@@ -77,7 +77,7 @@ def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: float = 3,
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(2**52)) + 0.5) / F.lit(float(2**52))
     docs = measured(df, key, text, source).withColumn("e", -F.log(uniform) / F.col("weight")).drop("weight")
     docs = written(docs, "sizes")
-    buckets = max(64, docs.count() // BUCKET_ROWS)
+    buckets = 1 + docs.count() // BUCKET_ROWS
     docs = docs.withColumn("b", F.floor(F.lit(buckets) * F.col("e") / (1 + F.col("e"))))
     sums = docs.groupBy("source", "b").agg(F.sum("size").alias("size"))
     plan = targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
@@ -88,14 +88,34 @@ def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: float = 3,
     up_to = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     fills = sums.select(named, "b", "size").withColumn("before", F.coalesce(F.sum("size").over(up_to), F.lit(0)))
     fills = fills.join(plan.select(named, "rest"), "s")
-    ends = written(fills.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") > F.col("rest"))).select("s", F.col("b").alias("end"), F.col("before").cast("double"), "rest"), "ends")
-    rows = docs.select("*", named)
-    inside = Window.partitionBy("s").orderBy("e", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = rows.join(ends, "s").where("b = end").withColumn("upto", F.col("before") + F.sum("size").over(inside))
-    # the last document with prefix sum nearest to the budget: key, id and size up to which documents are taken
-    last = edge.where("upto - size / 2 <= rest").groupBy("s").agg(F.max(F.struct("e", "id", "size")).alias("last"))
-    limits = plan.select(named, "source_size", "target", "epochs", "rest").join(ends.select("s", "end"), "s", "left").join(last, "s", "left")
-    taken = rows.join(limits, "s")
-    chosen = F.when(F.col("end").isNull(), F.col("rest") >= F.col("source_size")).otherwise((F.col("b") < F.col("end")) | ((F.col("b") == F.col("end")) & F.coalesce(F.struct("e", "id", "size") <= F.col("last"), F.lit(False))))
-    copies = F.col("epochs").cast("long") + chosen.cast("long")
-    return taken.select(F.col("id").alias(key), "size", F.col("source").alias(source), "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    ends = written(fills.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") > F.col("rest"))).select("s", F.col("b").alias("end"), "before"), "ends")
+    limits = plan.select(named, "source_size", "target", "epochs", "rest").join(ends.select("s", "end", "before"), "s", "left")
+    rows = docs.select("*", named).join(limits, "s").drop("s")
+    sure = rows.where("end is null or b != end")
+    sure = sure.withColumn("more", F.when(F.col("end").isNull(), F.col("rest") >= F.col("source_size")).otherwise(F.col("b") < F.col("end")))
+    edge = _filled(rows.where("b = end"))
+    copies = F.col("epochs").cast("long") + F.col("more").cast("long")
+    return sure.unionByName(edge).select(F.col("id").alias(key), "size", F.col("source").alias(source), "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def _filled(edge: DataFrame) -> DataFrame:
+    """The rows of the buckets in which budgets end, with ``more``: whether the document is taken once more.
+
+    In the order of the keys, each document that still fits is taken. One task streams the bucket of a source in order and
+    keeps the remaining budget only.
+    """
+    names = [f.name for f in edge.schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, left = None, 0.0
+        for batch in batches:
+            more = []
+            for name, size, rest, before in zip(*(batch.column(c).to_pylist() for c in ("source", "size", "rest", "before"))):
+                if at != (name,):
+                    at, left = (name,), rest - before
+                more.append(size <= left)
+                left -= size if more[-1] else 0
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(more, pa.bool_())], [*names, "more"])
+
+    schema = edge.withColumn("more", F.lit(True)).schema
+    return edge.repartition("source").sortWithinPartitions("source", "e", "id", "size").mapInArrow(run, schema)
