@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeframe.llm import chat, mixing, ngram_join, secret_scan, sentencepiece
+from gaugeframe.llm import chat, mixing, ngram_join, pii, secret_scan, sentencepiece
 from gaugeframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
   sum(chars)::BIGINT AS formatted_chars
 FROM e WHERE conv_id IS NOT NULL GROUP BY conv_id"""
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(read(spark, sf_dir, "documents")))
