@@ -21,6 +21,19 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent(ids: DataFrame, most: int = 500_000) -> DataFrame:
+    """``ids`` (a few numbers a row), to be broadcast if there are at most ``most``; a larger table is joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     """values[offsets[i]:offsets[i+1]] as list i."""
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values).cast(kind))

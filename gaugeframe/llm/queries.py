@@ -94,3 +94,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs, read(spark, sf_dir, "labels"))
     scored = quality.score(docs, model)
     return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -296,8 +296,9 @@ def decode(df: DataFrame, proto: bytes, ids: str = "ids", decoded: str = "decode
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
-def round_trip(df: DataFrame, proto: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, number of ids, digest of the ids and digest of the text decoded from them, in one pass without a shuffle.
+def round_trip(df: DataFrame, proto: bytes, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Key, number of ids, digest of the ids and digest of the text decoded from them, in one pass without a shuffle; the
+    ids themselves as well if asked for.
 
     Repeated rows give repeated results; null and empty texts have no ids and an empty decoded text.
     """
@@ -311,8 +312,10 @@ def round_trip(df: DataFrame, proto: bytes, key: str = "doc_id", text: str = "te
             decimal, at = [names[i] for i in ids.tolist()], offsets.tolist()
             own = [hashlib.sha256(",".join(decimal[a:b]).encode()).hexdigest() for a, b in zip(at[:-1], at[1:])]
             back = [hashlib.sha256(t.encode()).hexdigest() for t in model.decode(ids, offsets)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.array(np.diff(offsets)), pa.array(own), pa.array(back)],
-                [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = {key: batch.column(key), "n_tokens": pa.array(np.diff(offsets)), "ids_sha256": pa.array(own), "decoded_sha256": pa.array(back)}
+            if with_ids:
+                columns["ids"] = lists(ids, offsets, pa.int32())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
