@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeframe.llm import chat, learned_partitions, mixing, ngram_join, pii, quality, secret_scan, sentencepiece
+from gaugeframe.llm import chat, learned_partitions, metric_tree, mixing, ngram_join, pii, quality, secret_scan, sentencepiece
 from gaugeframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,19 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learned_partitions.search(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query
+def op2_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.search(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+CHECKS["op2_metric_tree"] = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10"""
