@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +20,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back: survives lost executors."""
     path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -61,3 +64,39 @@ def components(edges: DataFrame) -> DataFrame:
         labels = found.select("id", "component")
         if found.where("component < old").isEmpty():
             return labels
+
+
+#: A table of fixed size travels in so many pieces.
+CHUNKS = 16
+
+
+def one_table(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch], np.ndarray], None], size: int, kind: type, join: np.ufunc) -> np.ndarray:
+    """One array of ``size`` numbers: each task fills one of its own, and ``join`` unites them in pieces on the executors.
+
+    What reaches the driver is the united array, whose size doesn't depend on the data.
+    """
+    per, wide = size // CHUNKS, np.dtype(kind)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size, wide)
+        fill(batches, table)
+        if table.any():
+            yield rows({i: table[i * per : (i + 1) * per] for i in range(CHUNKS)})
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, values in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(zlib.decompress(values.as_py()), wide)
+                total[chunk] = join(total[chunk], part) if chunk in total else part
+        if total:
+            yield rows(total)
+
+    def rows(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        packed = pa.array([zlib.compress(x.tobytes(), 1) for x in parts.values()], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), packed], ["chunk", "part"])
+
+    schema, table = "chunk int, part binary", np.zeros(size, wide)
+    for chunk, part in df.mapInArrow(each, schema).repartition("chunk").mapInArrow(together, schema).collect():  # CHUNKS rows
+        table[chunk * per : (chunk + 1) * per] = np.frombuffer(zlib.decompress(bytes(part)), wide)
+    return table

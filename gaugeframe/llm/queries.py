@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeframe.llm import chat, learned_partitions, metric_tree, mixing, ngram_join, pii, quality, secret_scan, sentencepiece
+from gaugeframe.llm import chat, learned_partitions, metric_tree, mixing, ngram_join, phrase_dedup, pii, quality, secret_scan, sentencepiece
 from gaugeframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,21 @@ p AS (
   FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
+@query
+def op4_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = phrase_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+CHECKS["op4_phrase_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM d),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS h FROM s),
+r AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM g SEMI JOIN r ON g.h = r.h),
+n AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id"""
