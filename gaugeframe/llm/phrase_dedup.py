@@ -45,7 +45,7 @@ def _words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def anchors(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all windows of ``size`` words, text by text: hash of the anchor, its first word and the window's first word."""
     grams, gram_at, _ = W.windows(hashes, first, PHRASE)
-    rare = counts[(grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)].astype(np.uint64)
+    rare = counts[_slot(grams, len(counts))].astype(np.uint64)
     order = (np.minimum(rare, np.uint64(2**20 - 1)) << np.uint64(44)) | (grams >> np.uint64(20))
     span = size - PHRASE + 1
     own = np.maximum(np.diff(first) - PHRASE + 1, 0)
@@ -59,8 +59,14 @@ def anchors(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray, size: int
     return grams[best], gram_at[best], gram_at[begin]
 
 
-def _filter_places(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << FILTER_BITS) - 1)
+def _slot(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Places in a table of a power of two of entries."""
+    return (hashes >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def _filter_places(marks: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both bits of each mark in a table of bytes."""
+    mask = np.uint64(8 * len(table) - 1)
     return (marks & mask).astype(np.int64), ((marks >> np.uint64(32)) & mask).astype(np.int64)
 
 
@@ -69,13 +75,13 @@ def phrase_counts(df: DataFrame, text: str) -> np.ndarray:
         for batch in W.pieces(batches, text):
             *_, first, hashes = _words_of(batch.column(text))
             grams, _, _ = W.windows(hashes, first, PHRASE)
-            table += np.bincount((grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(table)).astype(np.int32)
+            table += np.bincount(_slot(grams, len(table)), minlength=len(table)).astype(np.int32)
 
     return np.maximum(one_table(df, count, 1 << TABLE_BITS, np.int32, np.add), 0)
 
 
-def repeated_anchors(df: DataFrame, text: str, counts, size: int) -> np.ndarray:
-    """Bits of the anchors that occur at least twice."""
+def repeated_anchors(df: DataFrame, text: str, counts, size: int, bits: int) -> np.ndarray:
+    """2 ** ``bits`` bits, with those of the anchors that occur at least twice set."""
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.pieces(batches, text):
             *_, first, hashes = _words_of(batch.column(text))
@@ -87,11 +93,11 @@ def repeated_anchors(df: DataFrame, text: str, counts, size: int) -> np.ndarray:
 
     def fill(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> None:
         for batch in batches:
-            for place in _filter_places(batch.column(0).to_numpy().view(np.uint64)):
+            for place in _filter_places(batch.column(0).to_numpy().view(np.uint64), table):
                 np.bitwise_or.at(table, place >> 3, np.left_shift(1, place & 7).astype(np.uint8))
 
     often = df.mapInArrow(found, "mark long, times int").groupBy("mark").agg(F.sum("times").alias("times")).where("times > 1").select("mark")
-    return one_table(often, fill, 1 << (FILTER_BITS - 3), np.uint8, np.bitwise_or)
+    return one_table(often, fill, 1 << (bits - 3), np.uint8, np.bitwise_or)
 
 
 def candidate_pieces(df: DataFrame, text: str, counts, bits, size: int) -> DataFrame:
@@ -103,8 +109,8 @@ def candidate_pieces(df: DataFrame, text: str, counts, bits, size: int) -> DataF
             marks, place, window = anchors(hashes, first, counts.value, size)
             if not len(marks):
                 continue
-            one, two = _filter_places(marks)
             table = bits.value
+            one, two = _filter_places(marks, table)
             often = ((table[one >> 3] >> (one & 7)) & (table[two >> 3] >> (two & 7)) & 1).astype(bool)
             change = np.concatenate([[True], place[1:] != place[:-1]])
             begin = np.flatnonzero(change)
@@ -200,7 +206,7 @@ def covered(pieces: DataFrame, shards: int, size: int) -> DataFrame:
     return pieces.select("piece", "mark", "words", "n").repartition(shards, "mark").mapInArrow(shard, "piece binary, spans array<struct<low: int, high: int>>")
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 35) -> DataFrame:
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 35, filter_bits: int = FILTER_BITS, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """(key, n_words, n_removed, kept) of every row: the words that no repeated window of ``size`` words covers, joined by spaces.
 
     Windows are judged on the input: of a passage that repeats, no occurrence stays, nor of a repeated row. Null and empty texts
@@ -211,9 +217,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     only = df.select(F.col(f"`{text}`").alias("text"))
     share = df.sparkSession.sparkContext.broadcast
     counts = share(phrase_counts(only, "text"))
-    bits = share(repeated_anchors(only, "text", counts, size))
+    bits = share(repeated_anchors(only, "text", counts, size, filter_bits))
     pieces = written(candidate_pieces(only, "text", counts, bits, size), "pieces")
-    spans = written(covered(pieces, 1 + pieces.count() // SHARD_PIECES, size), "spans")
+    spans = written(covered(pieces, 1 + pieces.count() // shard_pieces, size), "spans")
     places = pieces.select("piece", F.explode(F.arrays_zip("texts", "places")).alias("o")).select("piece", F.col("o.texts").alias("digest"), F.col("o.places").alias("place")).distinct()
     hits = places.join(spans, "piece").select("digest", F.explode(F.transform("spans", lambda s: F.struct((s["low"] + F.col("place")).alias("low"), (s["high"] + F.col("place")).alias("high")))).alias("span"))
     gone = hits.groupBy("digest").agg(F.collect_set("span").alias("gone"))  # bounded by the length of the text
