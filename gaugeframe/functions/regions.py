@@ -43,17 +43,22 @@ def region_condition(
     region: Column,
     member: Column,
     composites: Sequence[CompositeRegion] = EUROPE_PARTS,
+    plain: Column | None = None,
 ) -> Column:
     """Rows in any selected region; unknown names add nothing, no selection takes all rows.
 
-    Plain names and composites become one OR of simple comparisons, which reaches the scan.
+    Plain names and composites become one OR of simple comparisons, which reaches the scan. ``plain`` is the array of those
+    composite names that the data has as regions of their own: of these, the plain region is meant.
     """
     names = list(dict.fromkeys(selected))
     if not names:
         return F.lit(True)
     by_name = {c.name: c for c in composites}
     parts = [region.isin(names)]
-    parts += [by_name[n].condition(region, member) for n in names if n in by_name]
+    for n in names:
+        if n in by_name:
+            condition = by_name[n].condition(region, member)
+            parts.append(condition if plain is None else condition & ~F.array_contains(plain, n))
     return reduce(lambda a, b: a | b, parts)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,9 +22,13 @@ LAG_FEATURES = [f"lag_{k}" for k in range(1, DEPTH + 1)] + [f"roll_mean_{w}" for
 
 
 def fit_lag_model(
-    ts: DataFrame, keys: Sequence[str] = (), kind: str = "forest", trees: int = 100, depth: int = 3, rate: float = 0.1
+    ts: DataFrame, keys: Sequence[str] = (), kind: str = "forest", trees: int = 100, depth: int | None = None, rate: float = 0.1
 ) -> PipelineModel:
-    """One model of the next value from lags and preceding means, pooled over all series."""
+    """One model of the next value from lags and preceding means, pooled over all series.
+
+    Boosted trees are shallow (3 levels) unless told otherwise, those of a forest are deep (10).
+    """
+    depth = depth or (3 if kind == "boosted" else 10)
     frame = lag_features(ts, range(1, DEPTH + 1), MEANS, keys)
     return fit(frame, "y", LAG_FEATURES, kind, trees=trees, depth=depth, rate=rate, seed=0)
 
@@ -32,22 +36,25 @@ def fit_lag_model(
 def _last_values(ts: DataFrame, keys: list[str]) -> DataFrame:
     """One row per series: last values (newest first), sum, count, last date, last gap in days.
 
-    A series is gathered as a whole: it holds one row per calendar period.
+    Only the newest values of a series are gathered (each task passes on that many at most); the rest are sums.
     """
-    point = F.struct("ds", F.col("y").cast("double").alias("y"))
-    series = (
-        ts.dropna(subset=["ds", "y"])
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(point), asc=False).alias("_points"))
-        .where(F.size("_points") > 0)
+    by = keys or ["_all"]
+    known = ts.withColumn("_all", F.lit(0)).dropna(subset=["ds", "y"]).select(*by, "ds", F.col("y").cast("double").alias("y"))
+    newest_first = Window.partitionBy(*by).orderBy(F.desc("ds"), F.desc("y"))
+    recent = (
+        known.withColumn("_at", F.row_number().over(newest_first))
+        .where(F.col("_at") <= DEPTH)
+        .groupBy(*by)
+        .agg(F.sort_array(F.collect_list(F.struct("ds", "y")), asc=False).alias("_points"))
     )
+    series = recent.join(known.groupBy(*by).agg(F.sum("y").alias("total"), F.count("y").cast("int").alias("n")), by)
     newest, before = F.col("_points")[0]["ds"], F.try_element_at("_points", F.lit(2))["ds"]
     values = F.transform("_points", lambda r: r["y"])
     return series.select(
         *keys,
-        F.slice(values, 1, DEPTH).alias("recent"),
-        F.aggregate(values, F.lit(0.0), lambda a, b: a + b).alias("total"),
-        F.size("_points").alias("n"),
+        values.alias("recent"),
+        "total",
+        "n",
         newest.alias("last"),
         F.coalesce(F.date_diff(newest, before), F.lit(1)).alias("gap"),
         F.array().cast("array<double>").alias("yhats"),

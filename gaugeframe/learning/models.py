@@ -6,7 +6,6 @@ error figures per model reach the driver.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -24,7 +23,7 @@ from gaugeframe.session import cut_lineage
 PREDICTION = "prediction"
 VECTOR = "_vector"
 BUCKETS = 10_000
-ROWS_PER_PARTITION = 500_000
+PARTITIONS = 16
 
 
 def feature_columns(df: DataFrame, target: str, features: Sequence[str] | None = None) -> list[str]:
@@ -71,19 +70,16 @@ def regressor(kind: str, trees: int = 100, depth: int = 8, rate: float = 0.1, bi
     raise ValueError(f"unknown model kind {kind!r}")
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Even partitions of bounded size, however few or many files the rows come from."""
-    count = rows.count()
-    if count <= ROWS_PER_PARTITION // 50:
-        return rows.coalesce(1)
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(max(cores, math.ceil(count / ROWS_PER_PARTITION)))
+def _spread(rows: DataFrame, partitions: int) -> DataFrame:
+    """Rows dealt by a hash of their values and sorted, so that a fit is the same for any source and cluster."""
+    return rows.repartition(partitions, *rows.columns).sortWithinPartitions(*rows.columns)
 
 
-def fit(df: DataFrame, target: str, features: Sequence[str], kind: str, **params) -> PipelineModel:
+def fit(df: DataFrame, target: str, features: Sequence[str], kind: str, partitions: int = PARTITIONS, **params) -> PipelineModel:
     """Fit on the rows with a known target; missing features have to be filled before.
 
-    Tree models pass over their rows many times, so these are spread and kept for the fit.
+    Tree models pass over their rows many times, so these are spread over ``partitions`` and kept for the fit. Bagging
+    depends on the partitions: give large data more of them, and the same number for the same model.
     """
     learner = regressor(kind, **params).setLabelCol(target)
     assembler = VectorAssembler(inputCols=list(features), outputCol=VECTOR)
@@ -91,7 +87,7 @@ def fit(df: DataFrame, target: str, features: Sequence[str], kind: str, **params
     pipeline = Pipeline(stages=[assembler, learner])
     if kind == "linear":
         return pipeline.fit(rows)
-    kept = _spread(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = _spread(rows, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return pipeline.fit(kept)
     finally:

@@ -9,9 +9,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.learning.models import fit, linear_fit, predict
+from gaugeframe.learning.models import fit, predict
 from gaugeframe.operators.selection import where_equal
 from gaugeframe.operators.timeseries import resample_many
+from gaugeframe.session import cut_lineage
 
 GRID_POINTS = 200
 
@@ -64,7 +65,8 @@ def curve_by_period(
 ) -> PriceCurve:
     """Mean price and total profit per period of the chosen product and partner, a forest or
     boosted trees fitted to them, and the predicted profit over the observed price range."""
-    history = resample_many(where_equal(df, choice), date_col, rule, {price: "mean", profit: "sum"})
+    # a few periods, read by the fit, the price range and the caller
+    history = cut_lineage(resample_many(where_equal(df, choice), date_col, rule, {price: "mean", profit: "sum"}))
     model = fit(history, profit, [price], kind, trees=trees, depth=depth, bins=128)
     return PriceCurve(model, history, _predicted(price_grid(history, price), model))
 
@@ -78,14 +80,16 @@ def curve_by_row(
     model: PipelineModel | None = None,
     trees: int = 150,
     depth: int = 10,
+    keep: Sequence[str] = (),
 ) -> PriceCurve:
     """The same from single rows, with a forest or a given (saved) model.
 
-    Without a range the grid covers the prices of the whole table, not only of the choice.
+    Without a range the grid covers the prices of the whole table, not only of the choice. The chosen rows are written down once,
+    with price, profit and the columns to ``keep``.
     """
     choice = dict(choice or {})
     known = df.dropna(subset=[price, profit, *choice])
-    history = where_equal(known, choice)
+    history = cut_lineage(where_equal(known, choice).select(price, profit, *keep))
     if model is None:
         model = fit(history, profit, [price], "forest", trees=trees, depth=depth, bins=128)
     return PriceCurve(model, history, _predicted(price_grid(df, price, price_range), model))
@@ -122,12 +126,17 @@ def linear_curves(
 ) -> DataFrame:
     """Linear price curves of all products at once, from aggregates alone.
 
-    Products with fewer than two different prices have no slope and drop out.
+    A product with one price has a flat line at its mean profit.
     """
     history = resample_many(df, date_col, rule, {price: "mean", profit: "sum"}, [product])
-    fits = linear_fit(history, price, profit, [product])
-    ranges = history.groupBy(product).agg(F.min(price).alias("_low"), F.max(price).alias("_high"))
-    lines = fits.join(ranges, product).where(F.col("slope").isNotNull())
+    known = F.col(price).isNotNull() & F.col(profit).isNotNull()
+    flat = F.min(F.when(known, F.col(price))) == F.max(F.when(known, F.col(price)))
+    lines = history.groupBy(product).agg(
+        F.when(flat, F.lit(0.0)).otherwise(F.regr_slope(profit, price)).alias("slope"),
+        F.when(flat, F.avg(F.when(known, F.col(profit)))).otherwise(F.regr_intercept(profit, price)).alias("intercept"),
+        F.min(price).alias("_low"),
+        F.max(price).alias("_high"),
+    ).where(F.col("slope").isNotNull())
     return grid(lines, "_low", "_high", price, points).select(
         product, "point", price, (F.col("intercept") + F.col("slope") * F.col(price)).alias("pred_profit")
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.ratios import percent
@@ -172,12 +172,15 @@ def weighted_or_plain_mean_by(
     )
 
 
-def group_maximum(df: DataFrame, keys: Sequence[str], metric: str, name: str = "group_max") -> DataFrame:
+def group_maximum(df: DataFrame, keys: Sequence[str], metric: str, name: str = "group_max", bounded: bool = False) -> DataFrame:
     """Put the group's maximum on every row.
 
     Aggregate and join back instead of a window: the aggregate combines early, the join
     broadcasts it when small and otherwise splits skewed groups, and no task sorts a group.
+    Where the calendar bounds a group's rows (``bounded``: one row per period), a window reads its input once.
     """
+    if bounded:
+        return df.withColumn(name, F.max(metric).over(Window.partitionBy(*keys)))
     best = grouped(df, keys, F.max(metric).alias(name))
     return df.join(best, list(keys), "left")
 
@@ -221,18 +224,17 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlations as (variable, other, correlation) rows, each over the rows known on
     both sides; null where a side does not vary.
 
-    Pairs of columns become rows of one grouped aggregation, which keeps its compiled code
-    small for any number of pairs and sends one row per pair and task over the network.
+    One aggregation with a few sums per pair; each task sends one row over the network.
     """
     pairs = list(combinations(columns, 2)) + [(c, c) for c in columns]
     number = {pair: i for i, pair in enumerate(pairs)}
-    cells = [
-        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        for (a, b), i in number.items()
-    ]
-    both = df.select(F.inline(F.array(*cells))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    spread = F.stddev_pop("x") * F.stddev_pop("y")
-    found = both.groupBy("pair").agg(F.try_divide(F.covar_pop("x", "y"), spread).alias("correlation"))
+    sums = []
+    for (a, b), i in number.items():
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        spread = F.stddev_pop(x) * F.stddev_pop(y)
+        sums.append(F.struct(F.lit(i).alias("pair"), F.try_divide(F.covar_pop(x, y), spread).alias("correlation")))
+    found = df.agg(F.array(*sums).alias("found")).select(F.inline("found"))
     names = [
         F.struct(F.lit(x).alias("variable"), F.lit(y).alias("other"), F.lit(number[pair]).alias("pair"))
         for pair in pairs

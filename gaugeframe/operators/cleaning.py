@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,10 +15,10 @@ from gaugeframe.operators.percentiles import exact_percentiles
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN in float columns becomes null: Spark sorts NaN first and lets it spoil sums."""
-    floats = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    floats = [f for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     if not floats:
         return df
-    return df.withColumns({c: F.nanvl(F.col(f"`{c}`"), F.lit(None).cast("double")) for c in floats})
+    return df.withColumns({f.name: F.when(~F.isnan(F.col(f"`{f.name}`")), F.col(f"`{f.name}`")) for f in floats})
 
 
 def parse_dates(df: DataFrame, column: str, formats: Sequence[str] = ()) -> DataFrame:
@@ -101,11 +101,3 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 def text_columns(df: DataFrame) -> list[str]:
     return columns_of(df, T.StringType)
-
-
-def not_missing(*columns: Column) -> Column:
-    """All given expressions have a value."""
-    condition = F.lit(True)
-    for c in columns:
-        condition = condition & c.isNotNull()
-    return condition

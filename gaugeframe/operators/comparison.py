@@ -33,7 +33,7 @@ def latest_region_summary(df: DataFrame, region: str, member: str, date_col: str
 
 def normalised(df: DataFrame, entity: str, metric: str) -> DataFrame:
     """Metric as a share of the entity's maximum over the given rows."""
-    return group_maximum(df, [entity], metric, "_max").withColumn(
+    return group_maximum(df, [entity], metric, "_max", bounded=True).withColumn(
         "normalised", share_of_maximum(F.col(metric), F.col("_max"))
     ).drop("_max")
 

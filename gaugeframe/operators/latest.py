@@ -41,6 +41,12 @@ def top(df: DataFrame, metric: str, name: str, n: int) -> DataFrame:
     return first.orderBy(F.asc_nulls_last(metric), F.desc(name))
 
 
+def with_rank(best: DataFrame, metric: str, name: str) -> DataFrame:
+    """The rank of each of the n highest rows, 1 for the highest; equal metrics by name, missing last."""
+    order = Window.orderBy(F.desc_nulls_last(metric), F.col(name))  # over the n rows of a report
+    return best.withColumn("rank", F.row_number().over(order).cast("bigint"))
+
+
 def ranking_metric(metric: str) -> str:
     """The cumulative measure a metric is ranked by; the ratio ranks itself."""
     if metric == "Fatality_rate":

@@ -1,7 +1,7 @@
 """Row order over tables of any size (CLN-05, DER-19, WIN-04, WIN-05).
 
 A window over a whole table, or over a group holding a large part of it, runs in one task.
-Here rows are range-partitioned by (keys, order), so that a large group spreads over many
+Here rows are numbered by range chunks of (keys, order), so that a large group spreads over many
 chunks. Each chunk is worked on alone, and one small row per chunk and key carries what the
 next chunk has to know.
 """
@@ -13,19 +13,42 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeframe.session import cut_lineage
-
 CHUNK = "_chunk"
+#: Rows per chunk, about: what one task sorts.
+CHUNK_ROWS = 2_000_000
+MOST_CHUNKS = 4_096
+_SAMPLED = 16  # rows looked at per chunk
 
 
-def in_chunks(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+def in_chunks(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``df`` with the number of its range chunk; numbers rise with (keys, order).
 
-    The result is written to the checkpoint folder, because a recomputed range partitioning
-    could number the same row differently. The chunk count is spark.sql.shuffle.partitions.
+    The points between chunks are literals, from the rows with the smallest hashes of (keys, order): the same for every
+    evaluation of the plan, so nothing has to be written down. Two small jobs over the keys and the order find them.
     """
-    by = [F.col(c) for c in (*keys, *order_by)]
-    return cut_lineage(df.repartitionByRange(*by).withColumn(CHUNK, F.spark_partition_id()))
+    names = [*keys, *order_by]
+    total = df.count()
+    chunks = min(MOST_CHUNKS, -(-total // chunk_rows))
+    if chunks < 2:
+        return df.withColumn(CHUNK, F.lit(0))
+    by = [F.col(c) for c in names]
+    drawn = df.select(*by).orderBy(F.xxhash64(*by)).limit(_SAMPLED * chunks).orderBy(*by).collect()
+    points = list(dict.fromkeys(drawn[len(drawn) * i // chunks] for i in range(1, chunks)))
+    kinds = [df.schema[c].dataType for c in names]
+
+    def literal(row: Sequence[object]) -> Column:
+        return F.struct(*[F.lit(v).cast(k).alias(c) for c, v, k in zip(names, row, kinds)])
+
+    def passed(some: Column) -> Column:
+        return F.size(F.filter(some, lambda p: p <= F.struct(*by)))
+
+    # two steps: which group of points, which point within it
+    width = max(1, int(len(points) ** 0.5))
+    groups = [points[i : i + width] for i in range(0, len(points), width)]
+    group = passed(F.array(*[literal(g[0]) for g in groups]))
+    inner = F.array(*[F.array(*[literal(p) for p in g]) for g in groups])
+    number = F.when(group > 0, (group - 1) * width + passed(F.element_at(inner, F.greatest(group, F.lit(1))))).otherwise(F.lit(0))
+    return df.withColumn(CHUNK, number)
 
 
 def _same(left: str, right: str, keys: Sequence[str]) -> Column:
@@ -42,7 +65,7 @@ def _join_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str], add: Seq
 
 
 def fill_from_neighbours(
-    df: DataFrame, column: str, order_by: Sequence[str], keys: Sequence[str] = ()
+    df: DataFrame, column: str, order_by: Sequence[str], keys: Sequence[str] = (), chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Missing values take the last known value before them, else the first known one after.
 
@@ -50,7 +73,7 @@ def fill_from_neighbours(
     value; so the backward step needs one value per key and no window of its own.
     """
     keys, order_by = list(keys), list(order_by)
-    rows = in_chunks(df, keys, order_by)
+    rows = in_chunks(df, keys, order_by, chunk_rows)
     value, order = F.col(column), F.struct(*order_by)
     known_at = F.when(value.isNotNull(), order)
 
@@ -79,12 +102,20 @@ def fill_from_neighbours(
     )
 
 
+def fill_regular_series(df: DataFrame, column: str, order_by: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """The same for series that the calendar bounds (one row per key and period): one window per key."""
+    rows = Window.partitionBy(*keys).orderBy(*order_by)
+    before = F.last(column, ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(column, ignorenulls=True).over(rows.rowsBetween(0, Window.unboundedFollowing))
+    return df.withColumn(column, F.coalesce(before, after))
+
+
 def with_ordinal(
-    df: DataFrame, order_by: Sequence[str], keys: Sequence[str] = (), name: str = "ordinal"
+    df: DataFrame, order_by: Sequence[str], keys: Sequence[str] = (), name: str = "ordinal", chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Position of each row in the order, from 0, counted per key if keys are given."""
     keys, order_by = list(keys), list(order_by)
-    rows = in_chunks(df, keys, order_by)
+    rows = in_chunks(df, keys, order_by, chunk_rows)
     sizes = rows.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeframe.operators.ordered import CHUNK, in_chunks
-
-# The built-in aggregate keeps a count for every distinct value in one task: a bound on the
-# known values of all columns of a call together, some 50 MB.
-BUILT_IN_VALUES = 500_000
+from gaugeframe.operators.ordered import CHUNK, CHUNK_ROWS, in_chunks
+from gaugeframe.session import cut_lineage
 
 
 def unpivoted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -20,46 +17,23 @@ def unpivoted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(F.array(*values))).where(F.col("value").isNotNull())
 
 
-def exact_percentiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    built_in_limit: int = BUILT_IN_VALUES,
-    counts: Mapping[str, int] | None = None,
-) -> DataFrame:
-    """(column, probability, value) with one row for each pair; null for an empty column.
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, n): every known value of the columns with its number of rows.
 
-    Known values are counted first, unless their number is given. Up to the limit the built-in
-    aggregate is used; beyond it values are counted and ranked across range chunks.
+    Counted in each task before the shuffle and kept in the checkpoint folder: the one pass over the table, whatever is
+    then read off the counts.
     """
-    columns = list(columns)
-    known = counts or df.agg(*[F.count(f"`{c}`").alias(c) for c in columns]).first()
-    if sum(known[c] for c in columns) <= built_in_limit:
-        return _built_in(df, columns, probabilities)
-    ranked = _ranked(df, [c for c in columns if known[c]], probabilities)
-    empty = [c for c in columns if not known[c]]
-    return ranked.unionByName(_built_in(df, empty, probabilities)) if empty else ranked
+    return cut_lineage(unpivoted(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _built_in(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
-    row = df.agg(
-        *[F.percentile(F.col(f"`{c}`").cast("double"), list(probabilities)).alias(c) for c in columns]
-    )
-    cells = [
-        F.struct(
-            F.lit(c).alias("column"), F.lit(float(p)).alias("probability"), F.try_element_at(F.col(f"`{c}`"), F.lit(i + 1)).alias("value")
-        )
-        for c in columns
-        for i, p in enumerate(probabilities)
-    ]
-    return row.select(F.inline(F.array(*cells)))
+def exact_percentiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """(column, probability, value) with one row for each pair; null for an empty column."""
+    return percentiles_of_counts(value_counts(df, columns), columns, probabilities)
 
 
-def _ranked(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+def percentiles_of_counts(counts: DataFrame, columns: Sequence[str], probabilities: Sequence[float], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Percentiles by rank over value counts, no task holding a whole column."""
-    counts = unpivoted(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    rows = in_chunks(counts, ["column"], ["value"])
-
+    rows = in_chunks(counts, ["column"], ["value"], chunk_rows)
     sizes = rows.groupBy("column", CHUNK).agg(F.sum("n").alias("size"))  # columns + chunks rows
     chunks = sizes.select(
         "column",
@@ -89,4 +63,7 @@ def _ranked(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float
     low, high = F.min_by("value", "rank"), F.max_by("value", "rank")
     position = F.max("position")
     share = position - F.floor(position)
-    return hits.groupBy("column", "probability").agg((low + (high - low) * share).alias("value"))
+    found = hits.groupBy("column", "probability").agg((low + (high - low) * share).alias("value"))
+    pairs = [F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("probability")) for c in columns for p in probabilities]
+    asked = counts.sparkSession.range(1).select(F.inline(F.array(*pairs)))
+    return asked.join(found, ["column", "probability"], "left")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeframe.operators.cleaning import columns_of, numeric_columns, text_columns
-from gaugeframe.operators.percentiles import BUILT_IN_VALUES, exact_percentiles
+from gaugeframe.operators.percentiles import percentiles_of_counts, value_counts
 
 
 def preview(df: DataFrame, order_by: Sequence[str], rows: int = 5) -> DataFrame:
@@ -17,50 +17,51 @@ def preview(df: DataFrame, order_by: Sequence[str], rows: int = 5) -> DataFrame:
     return df.orderBy(*order_by).limit(rows)
 
 
-def describe(
-    df: DataFrame,
-    columns: Sequence[str] | None = None,
-    built_in_limit: int = BUILT_IN_VALUES,
-) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum, one row per numeric column.
 
-    Two passes: the moments, then the quartiles.
+    One pass over the table counts values; all figures follow from the counts.
     """
     columns = list(columns or numeric_columns(df))
-    moments = {
-        "count": F.count,
-        "mean": F.avg,
-        "std": F.stddev_samp,
-        "min": F.min,
-        "max": F.max,
-    }
-    values = [F.col(f"`{c}`").cast("double") for c in columns]
-    first = df.agg(*[make(v) for v in values for make in moments.values()]).first()  # one row
-    width = len(moments)
-    per_column = {c: first[i * width : (i + 1) * width] for i, c in enumerate(columns)}
-    quartiles = exact_percentiles(
-        df, columns, [0.25, 0.5, 0.75], built_in_limit, {c: m[0] for c, m in per_column.items()}
+    counts = value_counts(df, columns)
+    value, n = F.col("value"), F.col("n")
+    first = counts.groupBy("column").agg(
+        F.sum("n").alias("count"), (F.sum(value * n) / F.sum("n")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max")
     )
+    # around the mean, so that little is lost where values are large and their spread is small
+    spread = counts.join(F.broadcast(first.select("column", "mean")), "column")
+    spread = spread.groupBy("column").agg(F.sum(n * (value - F.col("mean")) * (value - F.col("mean"))).alias("squares"))
+    quartiles = percentiles_of_counts(counts, columns, [0.25, 0.5, 0.75])
 
     def at(p: float) -> Column:
         return F.max(F.when(F.col("probability") == p, F.col("value")))
 
-    def of_column(i: int) -> Column:
-        kind = "bigint" if i == 0 else "double"
-        stored = [x for c, m in per_column.items() for x in (F.lit(c), F.lit(m[i]).cast(kind))]
-        return F.try_element_at(F.create_map(*stored), F.col("column"))
-
     wide = quartiles.groupBy("column").agg(at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"))
-    return wide.select(
-        "column",
-        *[of_column(i).alias(n) for i, n in enumerate(("count", "mean", "std", "min"))],
-        "p25",
-        "p50",
-        "p75",
-        of_column(4).alias("max"),
+    whole = wide.join(first, "column", "left").join(spread, "column", "left")
+    return whole.select(
+        "column", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), "mean",
+        F.sqrt(F.try_divide("squares", F.nullif(F.col("count") - 1, F.lit(0)))).alias("std"), "min", "p25", "p50", "p75", "max",
     )
 
 
+def summary(df: DataFrame) -> DataFrame:
+    """One description of any table: its numeric and date columns, or, if it has none, its text columns.
+
+    Figures of numbers and of dates share their columns as text: numbers with four decimals, dates as time stamps.
+    """
+    numbers, dates = numeric_columns(df), columns_of(df, T.DateType, T.TimestampType, T.TimestampNTZType)
+    if not numbers and not dates:
+        return describe_text(df)
+    figures = ("mean", "std", "min", "p25", "p50", "p75", "max")
+    parts = []
+    if numbers:
+        parts.append(describe(df, numbers).select("column", "count", *[F.round(c, 4).cast("decimal(38,4)").cast("string").alias(c) for c in figures]))
+    if dates:
+        table = describe_dates(df, dates).withColumn("std", F.lit(None))
+        parts.append(table.select("column", "count", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c != "std" else F.lit(None).cast("string").alias(c) for c in figures]))
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+
+
 def describe_dates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The same for date and timestamp columns, as timestamps; dates have no deviation."""
     columns = list(columns or columns_of(df, T.DateType, T.TimestampType, T.TimestampNTZType))

@@ -56,10 +56,18 @@ def in_regions(
     member_col: str,
     composites: Sequence[CompositeRegion] = EUROPE_PARTS,
 ) -> DataFrame:
-    """Rows in any of the selected regions or composite regions, each row once."""
+    """Rows in any of the selected regions or composite regions, each row once.
+
+    Where the data has a region with the name of a composite one, the former is meant; whether it has is found by a filter on
+    the region alone, at most one row per composite region.
+    """
     if not selected:
         return df
-    return df.where(region_condition(selected, F.col(region_col), F.col(member_col), composites))
+    doubtful = sorted({c.name for c in composites} & set(selected))
+    plain = None
+    if doubtful:
+        plain = df.where(F.col(region_col).isin(doubtful)).agg(F.collect_set(region_col).alias("plain")).scalar()
+    return df.where(region_condition(selected, F.col(region_col), F.col(member_col), composites, plain))
 
 
 def snapshot(df: DataFrame, date_col: str, day: Day | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from gaugeframe.operators import aggregation as agg
 from gaugeframe.operators import cleaning as cln
 from gaugeframe.operators import comparison as cmp
 from gaugeframe.operators import latest as lat
+from gaugeframe.operators import ordered
 from gaugeframe.operators import selection as sel
 from gaugeframe.operators import timeseries as tser
 from gaugeframe.plans.registry import add, rounded
@@ -212,12 +213,12 @@ add(
 )
 add(
     "join_02_group_maximum", "surveillance",
-    lambda df: agg.group_maximum(df.select(DAY, PLACE, "New_deaths"), [PLACE], "New_deaths"),
+    lambda df: agg.group_maximum(df.select(DAY, PLACE, "New_deaths"), [PLACE], "New_deaths", bounded=True),
     "SELECT Country, Date_reported, New_deaths, MAX(New_deaths) OVER (PARTITION BY Country) AS group_max FROM surveillance",
 )
 add(
     "win_03_group_maximum_by_two", "uptake_group",
-    lambda df: rounded(agg.group_maximum(df.select("COUNTRY", "GROUP", "DATE", COV), ["COUNTRY", "GROUP"], COV)),
+    lambda df: rounded(agg.group_maximum(df.select("COUNTRY", "GROUP", "DATE", COV), ["COUNTRY", "GROUP"], COV, bounded=True)),
     f"""SELECT COUNTRY, "GROUP", DATE, ROUND({COV}, 6) AS {COV}, ROUND(MAX({COV}) OVER (PARTITION BY COUNTRY, "GROUP"), 6) AS group_max
         FROM uptake_group""",
 )
@@ -256,31 +257,37 @@ add(
     lambda df: rounded(lat.latest_known_per_key(df, ["COUNTRY"], "DATE", COV, ["GROUP"]).select("COUNTRY", "DATE", "GROUP", COV)),
     f'WITH {_KNOWN_SQL} SELECT COUNTRY, DATE, "GROUP", ROUND({COV}, 6) AS {COV} FROM known',
 )
-add(
-    "top_01_latest_cases", "surveillance", lambda df: lat.top_latest(df, "New_cases", 10, PLACE, DAY),
+def _add_top(name: str, view: str, metric: str, who: str, run, sql: str) -> None:
+    """A report of the highest rows with their ranks."""
+    add(name, view, lambda df: lat.with_rank(run(df), metric, who),
+        f"SELECT *, ROW_NUMBER() OVER (ORDER BY {metric} DESC NULLS LAST, {who}) AS rank FROM ({sql}) AS best")
+
+
+_add_top(
+    "top_01_latest_cases", "surveillance", CASES, PLACE, lambda df: lat.top_latest(df, "New_cases", 10, PLACE, DAY),
     f"WITH {LATEST_SQL} SELECT Country, Cumulative_cases FROM latest ORDER BY 2 DESC, 1 LIMIT 10",
 )
-add(
-    "top_02_latest_deaths", "surveillance", lambda df: lat.top_latest(df, "New_deaths", 5, PLACE, DAY),
+_add_top(
+    "top_02_latest_deaths", "surveillance", "Cumulative_deaths", PLACE, lambda df: lat.top_latest(df, "New_deaths", 5, PLACE, DAY),
     f"WITH {LATEST_SQL} SELECT Country, Cumulative_deaths FROM latest ORDER BY 2 DESC, 1 LIMIT 5",
 )
-add(
-    "top_02_latest_ratio", "surveillance", lambda df: rounded(lat.top_latest(df, "Fatality_rate", 5, PLACE, DAY)),
+_add_top(
+    "top_02_latest_ratio", "surveillance", "Fatality_rate", PLACE, lambda df: rounded(lat.top_latest(df, "Fatality_rate", 5, PLACE, DAY)),
     f"""WITH {LATEST_SQL} SELECT Country, {_RATE_SQL} AS Fatality_rate FROM latest WHERE Cumulative_cases >= 1000
         ORDER BY Cumulative_deaths / Cumulative_cases DESC, 1 LIMIT 5""",
 )
-add(
-    "top_03_snapshot", "uptake_monthly",
+_add_top(
+    "top_03_snapshot", "uptake_monthly", "COVID_VACCINE_ADM_TOT_DOSES", "COUNTRY",
     lambda df: lat.top_of_snapshot(sel.snapshot(df, "DATE", "1998-05-31"), "COVID_VACCINE_ADM_TOT_DOSES", 10, "COUNTRY").select("COUNTRY", "COVID_VACCINE_ADM_TOT_DOSES"),
     """SELECT COUNTRY, COVID_VACCINE_ADM_TOT_DOSES FROM uptake_monthly WHERE DATE = DATE '1998-05-31'
        AND COVID_VACCINE_ADM_TOT_DOSES IS NOT NULL ORDER BY 2 DESC, 1 LIMIT 10""",
 )
-add(
-    "top_04_by_total", "uptake_group", lambda df: lat.top_total(df, ADM, 10, "COUNTRY"),
+_add_top(
+    "top_04_by_total", "uptake_group", ADM, "COUNTRY", lambda df: lat.top_total(df, ADM, 10, "COUNTRY"),
     _ADM_PER_COUNTRY + f" ORDER BY {ADM} DESC, COUNTRY LIMIT 10",
 )
-add(
-    "top_04_by_latest_coverage", "uptake_group",
+_add_top(
+    "top_04_by_latest_coverage", "uptake_group", COV, "COUNTRY",
     lambda df: rounded(lat.top_latest_known(df, COV, 10, "COUNTRY", "DATE", ["GROUP"])),
     f"WITH {_KNOWN_SQL} SELECT COUNTRY, ROUND({COV}, 6) AS {COV} FROM known ORDER BY {COV} DESC, COUNTRY LIMIT 10",
 )
@@ -488,13 +495,14 @@ add(
 )
 add(
     "win_07_fill_regular_series", "sales",
-    lambda df: rounded(cln.fill_forward_back(
-        tser.resample(df.where(F.col("list_price") > 1500), "order_date", "list_price", "D", "mean", ["sku"]), "y", ["ds"], ["sku"]), 8),
-    """WITH filled AS (SELECT sku, order_date AS ds, AVG(list_price) AS y FROM sales WHERE list_price > 1500 GROUP BY 1, 2),
+    lambda df: rounded(ordered.fill_regular_series(
+        tser.resample(df, "order_date", "list_price", "D", "mean", ["sku"]), "y", ["ds"], ["sku"]), 8),
+    """WITH filled AS (SELECT sku, order_date AS ds, AVG(list_price) AS y FROM sales GROUP BY 1, 2),
        spine AS (SELECT sku, CAST(UNNEST(generate_series(CAST(MIN(ds) AS TIMESTAMP), CAST(MAX(ds) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS ds
                  FROM filled GROUP BY sku)
-       SELECT s.sku, s.ds, ROUND(LAST_VALUE(f.y IGNORE NULLS) OVER (PARTITION BY s.sku ORDER BY s.ds
-              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 8) AS y
+       SELECT s.sku, s.ds, ROUND(COALESCE(LAST_VALUE(f.y IGNORE NULLS) OVER (PARTITION BY s.sku ORDER BY s.ds
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), FIRST_VALUE(f.y IGNORE NULLS) OVER (PARTITION BY s.sku ORDER BY s.ds
+              ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 8) AS y
        FROM spine s LEFT JOIN filled f ON f.sku = s.sku AND f.ds = s.ds""",
 )
 add(

@@ -54,6 +54,23 @@ add(
 )
 
 
+def _text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with quotes, commas, padding and line breaks, and missing and empty texts beside them."""
+    key, text = F.col("doc_id"), F.col("text")
+    odd = F.when(key % 7 == 0, F.concat(F.lit(' "a ""b"", c\n'), text, F.lit("  "))).when(key % 11 == 0, F.lit("")).when(key % 13 != 0, text)
+    path = shared_folder(spark, "csv")
+    df = read_table(spark, sf_dir, "documents").select("doc_id", odd.alias("text"))
+    write_csv(df, path)
+    return read_csv(spark, path, df.schema, line_breaks=True)
+
+
+add_over_tables(
+    "src_01_snk_01_text_round_trip", _text_round_trip,
+    """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN ' "a ""b"", c' || chr(10) || text || '  ' WHEN doc_id % 11 = 0 THEN ''
+              WHEN doc_id % 13 <> 0 THEN text END AS text FROM documents""",
+)
+
+
 # Cleaning
 
 def _dates_as_text(spark: SparkSession, sf_dir: str, with_bad: bool) -> DataFrame:
@@ -164,7 +181,18 @@ def _shown(described: DataFrame) -> DataFrame:
 
 
 add("prf_02_describe", "sales", lambda df: _shown(prf.describe(df, _MEASURES)), _DESCRIBE_SQL)
-add("prf_02_describe_ranked", "sales", lambda df: _shown(prf.describe(df, _MEASURES, built_in_limit=0)), _DESCRIBE_SQL)
+_TEXT_FIGURES = ", ".join(
+    f"CAST(CAST(ROUND({f}, 4) AS DECIMAL(28, 4)) AS VARCHAR) AS {n}"
+    for n, f in (("mean", "AVG(quantity)"), ("std", "STDDEV_SAMP(quantity)"), ("min", "MIN(quantity)"), ("p25", "QUANTILE_CONT(quantity, 0.25)"),
+                 ("p50", "QUANTILE_CONT(quantity, 0.5)"), ("p75", "QUANTILE_CONT(quantity, 0.75)"), ("max", "MAX(quantity)"))
+)
+add(
+    "prf_02_summary_of_any_columns", "sales", lambda df: prf.summary(df.select("quantity", "order_date")).drop("mean", "std", "p25", "p75"),
+    f"""SELECT "column", "count", min, p50, max FROM (SELECT 'quantity' AS "column", COUNT(quantity) AS "count", {_TEXT_FIGURES} FROM sales)
+        UNION ALL SELECT 'order_date', COUNT(order_date), strftime(MIN(order_date), '%Y-%m-%d %H:%M:%S'),
+          strftime(to_timestamp(QUANTILE_CONT(epoch(order_date), 0.5)) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S'),
+          strftime(MAX(order_date), '%Y-%m-%d %H:%M:%S') FROM sales""",
+)
 add(
     "prf_02_describe_dates", "sales",
     lambda df: prf.describe_dates(df.select("order_date")).select(
@@ -259,6 +287,13 @@ add(
     lambda df: sel.in_regions(df, ["ASIA", "West Europe", "Atlantis"], "WHO_region", "Country", PARTS).select(*_surv),
     f"SELECT {_SURV} FROM surveillance WHERE WHO_region = 'ASIA' OR ({IN_WEST})",
 )
+add(
+    "fil_04_plain_region_first", "surveillance",
+    lambda df: sel.in_regions(df.withColumn("WHO_region", F.when(F.col("Country") == "NATION_5", "West Europe").otherwise(F.col("WHO_region"))),
+                              ["West Europe", "East Europe"], "WHO_region", "Country", PARTS).select("Date_reported", "Country", "WHO_region"),
+    f"""SELECT Date_reported, Country, CASE WHEN Country = 'NATION_5' THEN 'West Europe' ELSE WHO_region END AS WHO_region
+        FROM surveillance WHERE Country = 'NATION_5' OR ({IN_EAST})""",
+)
 add(
     "fil_04_region_mask_none", "surveillance",
     lambda df: sel.in_regions(df, [], "WHO_region", "Country", PARTS).select(*_surv),
@@ -434,6 +469,18 @@ add(
     """SELECT DATE, COUNTRY, "GROUP", COALESCE(format('{:.2f}%', COVID_VACCINE_COV_1D), 'N/A') AS two,
               COALESCE(format('{:.1f}%', COVID_VACCINE_COV_1D), 'N/A') AS one FROM uptake_group""",
 )
+_ODD_NUMBERS = "CASE o_orderkey % 9 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN 1e22 WHEN 2 THEN 0.0005 WHEN 3 THEN CAST('Infinity' AS DOUBLE) WHEN 4 THEN -1234.5 WHEN 5 THEN 1e21 ELSE o_totalprice END"
+add_over_tables(
+    "der_12_15_text_of_odd_numbers",
+    lambda spark, sf_dir: read_table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_ODD_NUMBERS).alias("x")).select(
+        "o_orderkey", big_number_text(F.col("x")).alias("big"), big_number_text(F.col("x"), 1, "rounded").alias("one"), percent_text(F.col("x")).alias("percent")),
+    f"""WITH t AS (SELECT o_orderkey, {_ODD_NUMBERS} AS x FROM orders)
+        SELECT o_orderkey, CASE WHEN isnan(x) THEN NULL WHEN isinf(x) THEN 'inf B' WHEN x >= 1e9 THEN format('{{:.2f}} B', x / 1e9)
+            WHEN x >= 1e6 THEN format('{{:.2f}} M', x / 1e6) WHEN x >= 1e3 THEN format('{{:.2f}} K', x / 1e3) ELSE CAST(x AS VARCHAR) END AS big,
+          CASE WHEN isnan(x) THEN NULL WHEN isinf(x) THEN 'inf B' WHEN x >= 1e9 THEN format('{{:.1f}} B', x / 1e9)
+            WHEN x >= 1e6 THEN format('{{:.1f}} M', x / 1e6) WHEN x >= 1e3 THEN format('{{:.1f}} K', x / 1e3) ELSE format('{{:.0f}}', x) END AS one,
+          CASE WHEN isnan(x) THEN 'N/A' ELSE format('{{:.2f}}%', x) END AS percent FROM t""",
+)
 add(
     "der_17_calendar_parts", "surveillance",
     lambda df: df.select("Date_reported", F.year("Date_reported").cast("bigint").alias("year"), F.date_format("Date_reported", "yyyy-MM-dd").alias("iso")).distinct(),

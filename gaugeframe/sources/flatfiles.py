@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeframe.operators.cleaning import nan_to_null
 
-# The column layouts of the known indicator files.
-SURVEILLANCE = T.StructType([
-    T.StructField("Date_reported", T.StringType()),
-    T.StructField("Country", T.StringType()),
-    T.StructField("WHO_region", T.StringType()),
-    T.StructField("New_cases", T.DoubleType()),
-    T.StructField("Cumulative_cases", T.DoubleType()),
-    T.StructField("New_deaths", T.DoubleType()),
-    T.StructField("Cumulative_deaths", T.DoubleType()),
-])
+# The column layout of the known weather file.
 WEATHER = T.StructType([
     T.StructField("Date", T.DateType()),
     T.StructField("City", T.StringType()),
@@ -27,50 +20,79 @@ WEATHER = T.StructType([
     T.StructField("Rainfall", T.LongType()),
 ])
 
+# Words that stand for a missing value in a file.
+MISSING = ("NA", "N/A", "n/a", "NaN", "nan", "NULL", "null", "None", "<NA>", "#N/A", "-nan", "-NaN")
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Header CSV as a DataFrame, NaN read as missing.
+_QUOTES = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
 
-    Give a schema for known files: inference costs a second scan of the whole input and is
-    meant for exploring unknown ones. The header has to name the schema's columns in order.
-    """
-    reader = spark.read.option("header", True)
-    if schema is None:
-        return nan_to_null(reader.option("inferSchema", True).csv(path))
-    # With enforceSchema off Spark checks header names, so a reordered file fails loudly.
-    return nan_to_null(reader.schema(schema).option("enforceSchema", False).csv(path))
 
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    line_breaks: bool = False,
+    missing: Sequence[str] = MISSING,
+) -> DataFrame:
+    """Header CSV as a DataFrame; empty fields, the ``missing`` words and NaN are read as missing.
 
-_SCHEMAS: dict[str, T.StructType] = {}
+    A doubled quote within quotes is a quote, white space around values is kept, and a quoted empty text is an empty
+    text. Quoted line breaks need ``line_breaks``, with which a file is read by one task as a whole.
 
+    Fields are read as text first, so that a missing word does not decide a column's type. Give a schema for known
+    files: the header has to name its columns in order, and a value that doesn't fit its type stops the job. Without one
+    the types are found by one pass over the file.
+    """
+    # An empty field is told from a quoted empty text by a null value that no file has.
+    options = spark.read.options(header=True, multiLine=line_breaks, nullValue="\x00missing\x00", **_QUOTES)
+    if schema is None:
+        text = options.csv(path)
+    else:
+        # With enforceSchema off Spark checks header names, so a reordered file fails loudly.
+        text = options.option("enforceSchema", False).schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema])).csv(path)
+    known = text.select(*[F.when(~F.col(f"`{c}`").isin(*missing), F.col(f"`{c}`")).alias(c) for c in text.columns])
+    types = {f.name: f.dataType for f in schema} if schema is not None else _types(known)
+    return nan_to_null(known.select(*[_typed(c, types[c]) for c in known.columns]))
+
+
+def _typed(column: str, kind: T.DataType):
+    value = F.col(f"`{column}`")
+    if isinstance(kind, T.StringType):
+        return value.alias(column)
+    return F.when(F.trim(value) != "", F.trim(value)).cast(kind).alias(column)
+
+
+def _types(text: DataFrame) -> dict[str, T.DataType]:
+    """The narrowest of whole number, number, truth value, date and time stamp that fits all known values, else text."""
+    tries = [T.LongType(), T.DoubleType(), T.BooleanType(), T.DateType(), T.TimestampType()]
+    counts = []
+    for i, c in enumerate(text.columns):
+        value = F.when(F.trim(F.col(f"`{c}`")) != "", F.trim(F.col(f"`{c}`")))
+        counts += [F.count(value).alias(f"{i}")] + [F.count(value.try_cast(t)).alias(f"{i}_{j}") for j, t in enumerate(tries)]
+    row = text.agg(*counts).first()  # one row
+    found: dict[str, T.DataType] = {}
+    for i, c in enumerate(text.columns):
+        fits = [t for j, t in enumerate(tries) if row[f"{i}"] and row[f"{i}_{j}"] == row[f"{i}"]]
+        found[c] = fits[0] if fits else T.StringType()
+    return found
 
-def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """One Parquet table of a data directory.
 
-    Finding a schema in file footers is a Spark job of its own, so it is done once per path.
-    """
-    path = f"{directory}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """One Parquet table of a data directory, NaN read as missing."""
+    return nan_to_null(spark.read.parquet(f"{directory}/{name}.parquet"))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Header CSV without an index column; one file per partition, written by the executors."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """Header CSV without an index column; one file per partition, written by the executors.
+
+    Missing values are empty fields, empty texts are quoted; quotes within a value are doubled.
+    """
+    df.write.mode(mode).options(header=True, **(_QUOTES | {"emptyValue": '""'})).csv(path)
 
 
 def write_yearly(df: DataFrame, path: str, date_col: str, mode: str = "errorifexists") -> None:
     """Parquet partitioned by year, so that later date ranges prune whole folders.
 
-    Each year is spread over several writers by a hash of the row, so a year holding most
-    of the data is not written by one task.
+    Rows are rebalanced by year: adaptive execution splits a large year over as many writers as its size asks for and
+    lets one writer take several small ones.
     """
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(32))
-    (
-        df.withColumn("year", F.year(date_col))
-        .repartition("year", spread)
-        .write.mode(mode)
-        .partitionBy("year")
-        .parquet(path)
-    )
+    df.withColumn("year", F.year(date_col)).hint("rebalance", F.col("year")).write.mode(mode).partitionBy("year").parquet(path)

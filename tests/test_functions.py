@@ -33,6 +33,16 @@ def test_big_integer_below_thousand_stays_an_integer(spark):
     assert spark.range(1).select(big_number_text(F.lit(999))).first()[0] == "999"
 
 
+@pytest.mark.parametrize("value, two, one, percent", [
+    (float("nan"), None, None, "N/A"), (float("inf"), "inf B", "inf B", "inf%"), (float("-inf"), "-inf", "-inf", "-inf%"),
+    (1e30, f"{1e21:.2f} B", f"{1e21:.1f} B", "1" + 30 * "0" + ".00%"), (5e-4, "0.0005", "0", "0.00%"), (-2.5e-4, "-0.00025", "0", "0.00%"), (-1234.5, "-1234.5", "-1234", "-1234.50%"),
+])
+def test_odd_numbers(spark, value, two, one, percent):
+    x = F.lit(value)
+    r = spark.range(1).select(big_number_text(x), big_number_text(x, 1, "rounded"), percent_text(x)).first()
+    assert tuple(r) == (two, one, percent)
+
+
 def test_percent_text_of_missing_value(spark):
     r = spark.range(1).select(percent_text(F.lit(12.345), 1), percent_text(F.lit(None).cast("double"))).first()
     assert tuple(r) == ("12.3%", "N/A")

@@ -87,7 +87,7 @@ def test_grid_and_best_price_ties(spark):
 def test_price_curves_find_the_planted_optimum(spark):
     data = [(i, "a", 1.0 + (i % 90) / 10) for i in range(900)] + [(i, "b", 50.0) for i in range(900, 950)]
     df = spark.createDataFrame(data, "id int, sku string, price double").withColumn("profit", 25 - (F.col("price") - 6) ** 2)
-    result = po.curve_by_row(df, "price", "profit", {"sku": "a"}, (2.0, 9.0), trees=20)
+    result = po.curve_by_row(df, "price", "profit", {"sku": "a"}, (2.0, 9.0), trees=20, keep=["id"])
     # The top is flat and ties take the lowest price, so the check is the profit lost there.
     chosen = po.best_price(result.curve, "price", "pred_profit").first().optimal_price
     assert 25 - (chosen - 6) ** 2 > 24.5
@@ -103,7 +103,7 @@ def test_linear_curves_are_straight_per_product(spark):
     df = spark.createDataFrame(data, "sku string, d date, price double, profit double")
     best = po.best_price(po.linear_curves(df, "d", "price", "profit", "sku"), "price", "pred_profit", ["sku"])
     got = {r.sku: (r.optimal_price, r.optimal_profit) for r in best.collect()}
-    assert got == {"up": (12.0, pytest.approx(32.0)), "down": (1.0, pytest.approx(50.0))}
+    assert got == {"up": (12.0, pytest.approx(32.0)), "down": (1.0, pytest.approx(50.0)), "flat": (5.0, pytest.approx(5.5))}
 
 
 def test_recursive_forecast_continues_every_series(spark):

@@ -6,32 +6,31 @@ from pyspark.sql import functions as F
 from gaugeframe.operators import ordered
 from gaugeframe.operators import profiling as prf
 from gaugeframe.operators import selection as sel
-from gaugeframe.operators.percentiles import exact_percentiles
+from gaugeframe.operators.percentiles import percentiles_of_counts, value_counts
 from tests.helpers import day, rows
 
 
-@pytest.mark.parametrize("limit", [200_000, 0], ids=["built-in", "ranked"])
-def test_describe_equals_pandas(spark, limit):
+def test_describe_equals_pandas(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"a": rng.normal(size=501), "b": rng.integers(0, 5, 501).astype(float), "c": np.arange(501.0)})
     pdf.loc[::7, "a"] = None
     expected = pdf.describe().T
     df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a double, b double, c double")
-    for r in prf.describe(df, built_in_limit=limit).collect():
+    for r in prf.describe(df).collect():
         e = expected.loc[r["column"]]
         got = [r["count"], r["mean"], r["std"], r["min"], r["p25"], r["p50"], r["p75"], r["max"]]
         assert np.allclose(got, e.to_numpy(), rtol=1e-12)
 
 
-@pytest.mark.parametrize("limit", [200_000, 0], ids=["built-in", "ranked"])
-def test_percentiles_of_few_rows_and_of_a_dominant_value(spark, limit):
+@pytest.mark.parametrize("chunk_rows", [1_000_000, 40])
+def test_percentiles_of_few_rows_and_of_a_dominant_value(spark, chunk_rows):
     df = spark.createDataFrame([(1.0, 7.0, None), (4.0, None, None)], "a double, b double, e double")
-    got = {(r["column"], r["probability"]): r["value"] for r in exact_percentiles(df, ["a", "b", "e"], [0.25, 0.5, 1.0], limit).collect()}
+    got = {(r["column"], r["probability"]): r["value"] for r in percentiles_of_counts(value_counts(df, ["a", "b", "e"]), ["a", "b", "e"], [0.25, 0.5, 1.0], chunk_rows).collect()}
     assert got == {("a", 0.25): 1.75, ("a", 0.5): 2.5, ("a", 1.0): 4.0, ("b", 0.25): 7.0, ("b", 0.5): 7.0, ("b", 1.0): 7.0,
                    ("e", 0.25): None, ("e", 0.5): None, ("e", 1.0): None}
     hot = spark.range(9_000).select(F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise(F.col("id").cast("double")).alias("x"))
     values = np.array([0.5 if i % 3 == 0 else float(i) for i in range(9_000)])
-    for r in exact_percentiles(hot, ["x"], [0.1, 0.25, 0.34, 0.9], limit).collect():
+    for r in percentiles_of_counts(value_counts(hot, ["x"]), ["x"], [0.1, 0.25, 0.34, 0.9], chunk_rows).collect():
         assert r["value"] == pytest.approx(np.quantile(values, r["probability"]), rel=1e-12)
 
 
@@ -40,6 +39,9 @@ def test_describe_of_dates_and_of_text(spark):
     r = prf.describe_dates(df).first()
     assert (r["count"], str(r["mean"]), str(r["p25"]), str(r["max"])) == (3, "2024-01-03 00:00:00", "2024-01-02 00:00:00", "2024-01-05 00:00:00")
     assert rows(prf.describe_text(df)) == [("t", 3, 2, "b", 2)]
+    assert rows(prf.summary(df.select("t"))) == [("t", 3, 2, "b", 2)]
+    both = {r["column"]: r for r in prf.summary(df.withColumn("n", F.lit(2))).collect()}
+    assert set(both) == {"d", "n"} and both["n"]["p50"] == "2.0000" and both["d"]["max"] == "2024-01-05 00:00:00" and both["d"]["std"] is None
 
 
 def test_choices_and_extents(spark):
@@ -74,8 +76,10 @@ def test_filters(spark):
 
 def test_ordinal_over_the_table_and_per_key(spark):
     df = spark.range(5_000).select((F.lit(10_000) - F.col("id")).alias("o"), (F.col("id") % 3 == 0).alias("k"))
-    whole = [r.ordinal for r in ordered.with_ordinal(df, ["o"]).orderBy("o").collect()]
-    assert whole == list(range(5_000))
+    for chunk_rows in (300, 10_000):
+        whole = [r.ordinal for r in ordered.with_ordinal(df, ["o"], chunk_rows=chunk_rows).orderBy("o").collect()]
+        assert whole == list(range(5_000))
+    assert ordered.in_chunks(df, [], ["o"], 300).select(ordered.CHUNK).distinct().count() > 10
     for key, size in ((True, 1667), (False, 3333)):
-        got = ordered.with_ordinal(df, ["o"], ["k"]).where(F.col("k") == key).orderBy("o").collect()
+        got = ordered.with_ordinal(df, ["o"], ["k"], chunk_rows=400).where(F.col("k") == key).orderBy("o").collect()
         assert [r.ordinal for r in got] == list(range(size))

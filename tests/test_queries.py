@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from gaugeframe.plans.registry import CHECKS, QUERIES
 from tests.check_queries import database, difference
 
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
@@ -16,13 +17,14 @@ def duck():
     return database(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(entry.oracle_sql()))
+@pytest.mark.parametrize("name", list(CHECKS))
 def test_query_equals_sql(spark, duck, name):
-    assert difference(entry.queries()[name](spark, SF_DIR), duck, entry.oracle_sql()[name]) is None
+    assert difference(QUERIES[name](spark, SF_DIR), duck, CHECKS[name]) is None
 
 
 def test_checks_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(CHECKS) == set(QUERIES)  # every query of the library itself has SQL
 
 
 def test_flagship_has_rows(spark):

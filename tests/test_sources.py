@@ -30,6 +30,31 @@ def test_csv_round_trip_and_yearly_parquet(spark, tmp_path):
     assert {p.name for p in (tmp_path / "years").iterdir() if p.is_dir()} == {"year=2020", "year=2021"}
 
 
+def test_csv_reads_what_was_written(spark, tmp_path):
+    """Quotes, line breaks, padding, empty and missing texts, and columns that hold a missing word."""
+    odd = [(1, 'a "b", c', 1.5), (2, "line\nbreak", None), (3, " pad ", float("nan")), (4, "", -2.0), (5, None, 0.0), (6, "back\\slash", 3.0), (7, '"', 1.0)]
+    df = spark.createDataFrame(odd, "i long, t string, x double").coalesce(1)
+    flatfiles.write_csv(df, str(tmp_path / "out"))
+    for schema in (df.schema, None):
+        back = flatfiles.read_csv(spark, str(tmp_path / "out"), schema, line_breaks=True)
+        assert dict(back.dtypes) == {"i": "bigint", "t": "string", "x": "double"}
+        assert rows(back, "i") == [(i, t, None if x is None or x != x else x) for i, t, x in odd]
+    path = tmp_path / "words.csv"
+    path.write_text('n,t,b,d\n1,"x ""y"", z",True,2024-01-01\nNA,N/A,,2024-02-01\n3, v ,False,\n')
+    got = flatfiles.read_csv(spark, str(path))
+    assert dict(got.dtypes) == {"n": "bigint", "t": "string", "b": "boolean", "d": "date"}
+    assert [r.t for r in got.orderBy("d").collect()] == [" v ", 'x "y", z', None] and got.where("n is null").count() == 1
+
+
+def test_a_rewritten_table_shows_its_new_column(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.sql("select 1 as a, double('nan') as x, float(2.5) as f").write.parquet(path)
+    first = flatfiles.read_table(spark, str(tmp_path), "t")
+    assert first.first().x is None and dict(first.dtypes)["f"] == "float"
+    spark.sql("select 1 as a, 2 as b").write.mode("overwrite").parquet(path)
+    assert flatfiles.read_table(spark, str(tmp_path), "t").columns == ["a", "b"]
+
+
 def test_lineage_is_cut_in_the_checkpoint_folder(spark):
     ensure_checkpoint_dir(spark)
     folder = spark.sparkContext.getCheckpointDir()
