@@ -19,9 +19,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back: survives lost executors."""
-    path = shared_folder(df.sparkSession, purpose)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).written(df, purpose)
+
+
+class Scratch:
+    """Tables written below the shared checkpoint folder, dropped as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.number = spark, shared_folder(spark, "llm"), 0
+        self.paths: dict[int, str] = {}
+
+    def written(self, df: DataFrame, purpose: str) -> DataFrame:
+        self.number += 1
+        path = f"{self.folder}/{self.number}-{purpose}"
+        df.write.option("compression", "zstd").parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = path
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete written tables. What was computed from them must have been written before."""
+        for table in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table)))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sent(ids: DataFrame, most: int = 500_000) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import words as W
-from gaugeframe.llm.common import one_table, written
+from gaugeframe.llm.common import Scratch, one_table
 
 PHRASE = 8
 TABLE_BITS = 20
@@ -218,11 +218,13 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     share = df.sparkSession.sparkContext.broadcast
     counts = share(phrase_counts(only, "text"))
     bits = share(repeated_anchors(only, "text", counts, size, filter_bits))
-    pieces = written(candidate_pieces(only, "text", counts, bits, size), "pieces")
-    spans = written(covered(pieces, 1 + pieces.count() // shard_pieces, size), "spans")
+    scratch = Scratch(df.sparkSession)
+    pieces = scratch.written(candidate_pieces(only, "text", counts, bits, size), "pieces")
+    spans = scratch.written(covered(pieces, 1 + pieces.count() // shard_pieces, size), "spans")
     places = pieces.select("piece", F.explode(F.arrays_zip("texts", "places")).alias("o")).select("piece", F.col("o.texts").alias("digest"), F.col("o.places").alias("place")).distinct()
     hits = places.join(spans, "piece").select("digest", F.explode(F.transform("spans", lambda s: F.struct((s["low"] + F.col("place")).alias("low"), (s["high"] + F.col("place")).alias("high")))).alias("span"))
-    gone = hits.groupBy("digest").agg(F.collect_set("span").alias("gone"))  # bounded by the length of the text
+    gone = scratch.written(hits.groupBy("digest").agg(F.collect_set("span").alias("gone")), "gone")  # bounded by the length of the text
+    scratch.drop(pieces, spans)
     rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), F.unhex(F.md5(F.col(f"`{text}`").cast("binary"))).alias("digest"))
     kind = rows.schema["id"].dataType.simpleString()
 
