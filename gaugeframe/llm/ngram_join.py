@@ -8,7 +8,8 @@ A text's set holds the hashes of its distinct word n-grams; two texts link when
 3. Of a set of n n-grams a link may miss at most n - ceil(t n). The prefix of rare n-grams is extended until its
    signatures survive that many misses: a rare n-gram is a signature alone, frequent ones are combined in pairs within
    their subclass (the first of a subclass gives no pair, so it lengthens the prefix by one). Two linked sets share a signature.
-4. Nodes with a common signature are compared with its smallest node, and verified on the whole sets. Where the
+4. Nodes with a common signature are compared with its smallest node: first by parities (the bits in which they differ
+   number at most the n-grams that only one set has, so pairs with too many cannot link), then on the whole sets. Where the
    nodes of a signature are then still in several components, all pairs across components are verified as well. Pairs
    within one component need no check: they change no component. So a group of near copies costs a few comparisons a
    member and no link that matters is lost.
@@ -17,6 +18,7 @@ A text's set holds the hashes of its distinct word n-grams; two texts link when
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import words as W
-from gaugeframe.llm.common import components, lists, written
+from gaugeframe.llm.common import components, lists, sent, written
 
-TABLE_BITS = 21
+TABLE_BITS = 20
 CHUNKS = 16
 SUBCLASSES = 8
+PARITY_WORDS = 8
 FREQUENT = 512
-#: Ids up to this number are sent to all tasks when the sets of some texts are read; more are joined by a shuffle.
-SENT_IDS = 500_000
 _FIRST, _SECOND = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -68,14 +69,14 @@ def count_table(df: DataFrame, text: str, size: int, lowercase: bool) -> np.ndar
             table += np.bincount((grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(table))
         if table.any():
             small = np.minimum(table, 2**31 - 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([small[i * per : (i + 1) * per].tobytes() for i in range(CHUNKS)], pa.binary())], ["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([zlib.compress(small[i * per : (i + 1) * per].tobytes(), 1) for i in range(CHUNKS)], pa.binary())], ["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
                 total.setdefault(chunk, np.zeros(per, np.int64))
-                total[chunk] += np.frombuffer(counts.as_py(), np.int32)
+                total[chunk] += np.frombuffer(zlib.decompress(counts.as_py()), np.int32)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
 
@@ -114,7 +115,7 @@ def signatures(grams: np.ndarray, counts: np.ndarray, frequent: float, num: int,
 
 
 def _described(df: DataFrame, key: str, text: str, size: int, lowercase: bool, num: int, den: int) -> DataFrame:
-    """(id, n, h1, h2, signatures) of every row."""
+    """(id, n, h1, h2, parity, signatures) of every row."""
     table = count_table(df, text, size, lowercase)
     frequent = max(FREQUENT, 4 * float(table.mean()))
     shared = df.sparkSession.sparkContext.broadcast(table)
@@ -127,18 +128,22 @@ def _described(df: DataFrame, key: str, text: str, size: int, lowercase: bool, n
             total = [np.concatenate([[0], np.cumsum(W.mix(grams ^ c), dtype=np.uint64)]).astype(np.uint64) for c in (_FIRST, _SECOND)]
             own = [signatures(grams[a:b], counts[a:b], frequent, num, den) for a, b in zip(at[:-1], at[1:])]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+            # bit i of a text's parity tells whether an odd number of its n-grams hash to i
+            bits = (grams % np.uint64(64 * PARITY_WORDS)).astype(np.int64) + np.repeat(np.arange(batch.num_rows), np.diff(at)) * (64 * PARITY_WORDS)
+            odd = (np.bincount(bits, minlength=batch.num_rows * 64 * PARITY_WORDS) & 1).astype(np.uint8)
+            parity = np.packbits(odd, bitorder="little").view("<i8")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key), pa.array(np.diff(at)), *(pa.array((t[at[1:]] - t[at[:-1]]).view(np.int64)) for t in total),
-                 lists(np.concatenate(own).view(np.int64), ends, pa.int64())],
-                ["id", "n", "h1", "h2", "signatures"])
+                 lists(parity, np.arange(batch.num_rows + 1) * PARITY_WORDS, pa.int64()), lists(np.concatenate(own).view(np.int64), ends, pa.int64())],
+                ["id", "n", "h1", "h2", "parity", "signatures"])
 
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"id {kind}, n long, h1 long, h2 long, signatures array<long>")
+    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"id {kind}, n long, h1 long, h2 long, parity array<long>, signatures array<long>")
 
 
 def _sets_of(df: DataFrame, ids: DataFrame, key: str, text: str, size: int, lowercase: bool) -> DataFrame:
     """(id, grams) of the given distinct ids."""
     rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    chosen = rows.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "id", "left_semi")
+    chosen = rows.join(sent(ids), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.pieces(batches, "text"):
@@ -149,6 +154,15 @@ def _sets_of(df: DataFrame, ids: DataFrame, key: str, text: str, size: int, lowe
     return written(chosen.mapInArrow(run, f"id {kind}, grams array<long>"), "grams")
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parities don't rule out."""
+    each = nodes.select("rep", "n", "parity")
+    both = pairs.join(each.toDF("a", "na", "pa"), "a").join(each.toDF("b", "nb", "pb"), "b")
+    only_one = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
+    near = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
+    return both.where(near & ((num + den) * only_one <= (den - num) * (F.col("na") + F.col("nb")))).select("a", "b")
+
+
 def _verified(df: DataFrame, pairs: DataFrame, num: int, den: int, *how) -> DataFrame:
     """The pairs (a, b) that link by their whole sets."""
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
@@ -166,29 +180,32 @@ def linked_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     """
     docs = written(_described(df, key, text, size, lowercase, num, den), "signatures")
     some = docs.where("n > 0 and id is not null")
-    nodes = written(some.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.min_by("signatures", "id").alias("signatures")), "nodes")
-    rows = nodes.select("rep", "n", F.explode("signatures").alias("sig"))
-    heads = rows.groupBy("sig").agg(F.count("*").alias("m"), F.min(F.struct("rep", "n")).alias("head")).where("m > 1")
-    shared = written(rows.join(heads, "sig").select("sig", "rep", "n", "m", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n")), "shared")
-
-    def near(x: str, y: str) -> F.Column:
-        return (den * F.least(x, y) >= num * F.greatest(x, y))
-
-    star = written(shared.where(F.col("rep") != F.col("head")).where(near("n", "head_n")).select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "star")
+    reps = written(some.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "reps")
+    chosen = reps.select("n", "h1", "h2", F.col("rep").alias("id")).distinct()
+    # a node is a rep with its own set: ids of repeated rows with other texts are told apart by the set
+    nodes = some.join(sent(chosen), ["id", "n", "h1", "h2"], "left_semi").withColumnRenamed("id", "rep")
+    rows = nodes.select(F.explode("signatures").alias("sig"), "rep")
+    heads = rows.groupBy("sig").agg(F.min("rep").alias("head"), F.max("rep").alias("other")).where("head < other").select("sig", "head")
+    shared = written(rows.join(heads, "sig").where("rep != head"), "shared")
     how = (key, text, size, lowercase)
+    star = written(_possible(shared.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), nodes, num, den), "star")
     links = written(_verified(df, star, num, den, *how), "links")
     first = components(links)
-    placed = shared.where("m > 2 and rep != head").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    # where the nodes of a signature, its smallest left aside, are in several components: pairs across those
+    placed = shared.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
-    open_ = written(placed.join(mixed, "sig"), "open")
+    sizes = nodes.select("rep", "n")
+    open_ = written(placed.join(mixed, "sig").join(sizes, "rep"), "open")
     # sizes of linked sets differ by the ratio at most: they are in the same or in neighbouring bands
     band = F.floor(F.log(F.col("n")) / math.log(den / num) + F.lit(1e-9)).cast("long")
     left = open_.select("sig", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
     right = open_.select("sig", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), band.alias("band"))
-    across = left.join(right, ["sig", "band"]).where("a < b and ca != cb").where(near("na", "nb")).select("a", "b").distinct()
-    across = written(across, "across")
+    near = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
+    across = left.join(right, ["sig", "band"]).where("a < b and ca != cb").where(near).select("a", "b").distinct()
+    across = written(_possible(across, nodes, num, den), "across")
     more = written(_verified(df, across, num, den, *how), "links")
     last = components(links.union(more))
-    members = some.select("id", "n", "h1", "h2").join(nodes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).select("id", "rep").distinct()
+    members = some.select("id", "n", "h1", "h2").join(reps, ["n", "h1", "h2"]).select("id", "rep").distinct()
+    # the set of a repeated id joins what its other sets link with
     named = members.join(last.withColumnRenamed("id", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     return docs.join(named, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
