@@ -8,9 +8,10 @@ A text's set holds the hashes of its distinct word n-grams; two texts link when
 3. Of a set of n n-grams a link may miss at most n - ceil(t n). The prefix of rare n-grams is extended until its
    signatures survive that many misses: a rare n-gram is a signature alone, frequent ones are combined in pairs within
    their subclass (the first of a subclass gives no pair, so it lengthens the prefix by one). Two linked sets share a signature.
-4. Nodes with a common signature are compared with its smallest node: first by parities (the bits in which they differ
-   number at most the n-grams that only one set has, so pairs with too many cannot link), then on the whole sets. Where the
-   nodes of a signature are then still in several components, all pairs across components are verified as well. Pairs
+4. Nodes with a common signature are compared with one of them: first by parities (the bits in which they differ number
+   at most the n-grams that only one set has, so pairs with too many cannot link), then on the whole sets. Where nodes of a
+   signature are then still in several components, the pairs across components are verified as well, but for those that have
+   too many n-grams before the common one. Pairs
    within one component need no check: they change no component. So a group of near copies costs a few comparisons a
    member and no link that matters is lost.
 """
@@ -18,7 +19,6 @@ A text's set holds the hashes of its distinct word n-grams; two texts link when
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import words as W
-from gaugeframe.llm.common import components, lists, sent, written
+from gaugeframe.llm.common import Scratch, components, lists, one_table, sent
 
 TABLE_BITS = 20
-CHUNKS = 16
 SUBCLASSES = 8
 PARITY_WORDS = 8
 FREQUENT = 512
@@ -59,44 +58,28 @@ def sets(texts: pa.Array, size: int, lowercase: bool) -> tuple[np.ndarray, np.nd
 
 
 def count_table(df: DataFrame, text: str, size: int, lowercase: bool) -> np.ndarray:
-    """Counts of all n-grams by the leading bits of their hash. Each task sends one table of fixed size."""
-    spark, per = df.sparkSession, (1 << TABLE_BITS) // CHUNKS
+    """Counts of all n-grams by the leading bits of their hash. Beyond 2**31 a counter wraps: it only orders."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << TABLE_BITS, np.int64)
+    def count(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> None:
         for batch in W.pieces(batches, text):
             grams, _ = sets(batch.column(text), size, lowercase)
-            table += np.bincount((grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(table))
-        if table.any():
-            small = np.minimum(table, 2**31 - 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([zlib.compress(small[i * per : (i + 1) * per].tobytes(), 1) for i in range(CHUNKS)], pa.binary())], ["chunk", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                total.setdefault(chunk, np.zeros(per, np.int64))
-                total[chunk] += np.frombuffer(zlib.decompress(counts.as_py()), np.int32)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
-
-    schema = "chunk int, counts binary"
-    parts = df.select(F.col(f"`{text}`")).mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema)
-    table = np.zeros(1 << TABLE_BITS, np.int64)
-    for chunk, counts in parts.collect():  # CHUNKS rows
-        table[chunk * per : (chunk + 1) * per] = np.frombuffer(bytes(counts), np.int64)
-    return np.minimum(table, 2**31 - 1).astype(np.int32)
-
-
-def signatures(grams: np.ndarray, counts: np.ndarray, frequent: float, num: int, den: int) -> np.ndarray:
-    """Signatures of one set: of two sets that link and differ, at least one is common."""
+            table += np.bincount((grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(table)).astype(np.int32)
+
+    return one_table(df.select(F.col(f"`{text}`")), count, 1 << TABLE_BITS, np.int32, np.add)
+
+
+def signatures(grams: np.ndarray, counts: np.ndarray, frequent: float, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of one set, and for single n-grams how many come before them: of two sets that link and differ, at least
+    one is common, and if it is a single n-gram, then also one with no common n-gram before it in either set.
+
+    (Frequent n-grams come last: if the first common one is frequent, all are, and a pair is common.)"""
     n = len(grams)
     need = n - -(-num * n // den) + 1
     order = np.lexsort((grams, counts))
     grams, often = grams[order], counts[order] > frequent
     small = SUBCLASSES * den // num
     if n <= small or not often[:need].any():
-        return grams[:need]
+        return grams[:need], np.arange(min(n, need))
     subclass = (grams % np.uint64(SUBCLASSES)).astype(np.int64)
     gain = np.ones(n, np.int64)
     for j in range(SUBCLASSES):
@@ -104,18 +87,21 @@ def signatures(grams: np.ndarray, counts: np.ndarray, frequent: float, num: int,
         gain[members[:1]] = 0
     end = int(np.searchsorted(np.cumsum(gain), need)) + 1
     grams_, often_, subclass_ = grams[:end], often[:end], subclass[:end]
-    out = [grams_[~often_]]
+    out, before = [grams_[~often_]], [np.flatnonzero(~often_)]
     for j in range(SUBCLASSES):
         x = np.sort(grams_[often_ & (subclass_ == j)])
         a, b = np.triu_indices(len(x), 1)
         out.append(W.mix(W.mix(x[a]) + x[b]))
+        before.append(np.zeros(len(a), np.int64))
     if n <= small * den // num:  # may link with a small set, which has single signatures only
-        out.append(grams[:need])
-    return np.unique(np.concatenate(out))
+        single = np.flatnonzero(often[:need])
+        out.append(grams[single])
+        before.append(single)
+    return np.concatenate(out), np.concatenate(before)
 
 
 def _described(df: DataFrame, key: str, text: str, size: int, lowercase: bool, num: int, den: int) -> DataFrame:
-    """(id, n, h1, h2, parity, signatures) of every row."""
+    """(id, n, h1, h2, parity, signatures, before) of every row."""
     table = count_table(df, text, size, lowercase)
     frequent = max(FREQUENT, 4 * float(table.mean()))
     shared = df.sparkSession.sparkContext.broadcast(table)
@@ -127,20 +113,20 @@ def _described(df: DataFrame, key: str, text: str, size: int, lowercase: bool, n
             counts = shared.value[(grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
             total = [np.concatenate([[0], np.cumsum(W.mix(grams ^ c), dtype=np.uint64)]).astype(np.uint64) for c in (_FIRST, _SECOND)]
             own = [signatures(grams[a:b], counts[a:b], frequent, num, den) for a, b in zip(at[:-1], at[1:])]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+            ends = np.concatenate([[0], np.cumsum([len(x) for x, _ in own])])
             # bit i of a text's parity tells whether an odd number of its n-grams hash to i
             bits = (grams % np.uint64(64 * PARITY_WORDS)).astype(np.int64) + np.repeat(np.arange(batch.num_rows), np.diff(at)) * (64 * PARITY_WORDS)
             odd = (np.bincount(bits, minlength=batch.num_rows * 64 * PARITY_WORDS) & 1).astype(np.uint8)
             parity = np.packbits(odd, bitorder="little").view("<i8")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key), pa.array(np.diff(at)), *(pa.array((t[at[1:]] - t[at[:-1]]).view(np.int64)) for t in total),
-                 lists(parity, np.arange(batch.num_rows + 1) * PARITY_WORDS, pa.int64()), lists(np.concatenate(own).view(np.int64), ends, pa.int64())],
-                ["id", "n", "h1", "h2", "parity", "signatures"])
+                 lists(parity, np.arange(batch.num_rows + 1) * PARITY_WORDS, pa.int64()), lists(np.concatenate([x for x, _ in own]).view(np.int64), ends, pa.int64()), lists(np.concatenate([x for _, x in own]), ends, pa.int32())],
+                ["id", "n", "h1", "h2", "parity", "signatures", "before"])
 
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"id {kind}, n long, h1 long, h2 long, parity array<long>, signatures array<long>")
+    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"id {kind}, n long, h1 long, h2 long, parity array<long>, signatures array<long>, before array<int>")
 
 
-def _sets_of(df: DataFrame, ids: DataFrame, key: str, text: str, size: int, lowercase: bool) -> DataFrame:
+def _sets_of(df: DataFrame, ids: DataFrame, scratch: Scratch, key: str, text: str, size: int, lowercase: bool) -> DataFrame:
     """(id, grams) of the given distinct ids."""
     rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     chosen = rows.join(sent(ids), "id", "left_semi")
@@ -151,7 +137,13 @@ def _sets_of(df: DataFrame, ids: DataFrame, key: str, text: str, size: int, lowe
             yield pa.RecordBatch.from_arrays([batch.column("id"), lists(grams.view(np.int64), at, pa.int64())], ["id", "grams"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return written(chosen.mapInArrow(run, f"id {kind}, grams array<long>"), "grams")
+    return scratch.written(chosen.mapInArrow(run, f"id {kind}, grams array<long>"), "grams")
+
+
+def _reachable(n: str, before: str, m: str, ahead: str, num: int, den: int) -> F.Column:
+    """Whether sets of n and m n-grams can link if what comes before a common one in either is not common."""
+    least = F.least(F.col(n) - F.col(before), F.col(m) - F.col(ahead)).cast("long")
+    return (num + den) * least >= num * (F.col(n).cast("long") + F.col(m))
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -163,13 +155,16 @@ def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
     return both.where(near & ((num + den) * only_one <= (den - num) * (F.col("na") + F.col("nb")))).select("a", "b")
 
 
-def _verified(df: DataFrame, pairs: DataFrame, num: int, den: int, *how) -> DataFrame:
+def _verified(df: DataFrame, pairs: DataFrame, num: int, den: int, scratch: Scratch, *how) -> DataFrame:
     """The pairs (a, b) that link by their whole sets."""
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    grams = _sets_of(df, ids, *how)
+    pairs = scratch.written(pairs, "pairs")
+    ids = scratch.written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    grams = _sets_of(df, ids, scratch, *how)
     joined = pairs.join(grams.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b").join(grams.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
     common = F.size(F.array_intersect("ga", "gb"))
-    return joined.where((num + den) * common >= num * (F.size("ga") + F.size("gb"))).select("a", "b")
+    links = scratch.written(joined.where((num + den) * common >= num * (F.size("ga") + F.size("gb"))).select("a", "b"), "links")
+    scratch.drop(pairs, ids, grams)
+    return links
 
 
 def linked_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, num: int = 90, den: int = 100, lowercase: bool = True) -> DataFrame:
@@ -178,34 +173,42 @@ def linked_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     Null, empty and blank texts have no n-grams and link with nothing. Rows with a null key keep their count, take no part
     in links and get a null component. Repeated rows give repeated results. Other columns are not read.
     """
-    docs = written(_described(df, key, text, size, lowercase, num, den), "signatures")
+    scratch, how = Scratch(df.sparkSession), (key, text, size, lowercase)
+    docs = scratch.written(_described(df, key, text, size, lowercase, num, den), "signatures")
     some = docs.where("n > 0 and id is not null")
-    reps = written(some.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "reps")
+    reps = scratch.written(some.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "reps")
+    members = scratch.written(docs.select("id", "n", "h1", "h2").join(reps, ["n", "h1", "h2"], "left").select("id", "n", "rep"), "members")
     chosen = reps.select("n", "h1", "h2", F.col("rep").alias("id")).distinct()
     # a node is a rep with its own set: ids of repeated rows with other texts are told apart by the set
-    nodes = some.join(sent(chosen), ["id", "n", "h1", "h2"], "left_semi").withColumnRenamed("id", "rep")
-    rows = nodes.select(F.explode("signatures").alias("sig"), "rep")
-    heads = rows.groupBy("sig").agg(F.min("rep").alias("head"), F.max("rep").alias("other")).where("head < other").select("sig", "head")
-    shared = written(rows.join(heads, "sig").where("rep != head"), "shared")
-    how = (key, text, size, lowercase)
-    star = written(_possible(shared.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), nodes, num, den), "star")
-    links = written(_verified(df, star, num, den, *how), "links")
-    first = components(links)
-    # where the nodes of a signature, its smallest left aside, are in several components: pairs across those
-    placed = shared.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("c"))
+    own = some.join(sent(chosen), ["id", "n", "h1", "h2"], "left_semi").withColumnRenamed("id", "rep")
+    nodes = scratch.written(own.select("rep", "n", "parity"), "nodes")
+    each = F.explode(F.arrays_zip("signatures", "before")).alias("s")
+    rows = own.select("rep", "n", each).select(F.col("s.signatures").alias("sig"), "rep", F.col("n").cast("int").alias("n"), F.col("s.before").alias("before"))
+    often = rows.groupBy("sig").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("sig")
+    shared = scratch.written(rows.join(often, "sig"), "shared")
+    scratch.drop(docs, reps)
+    # the node with the most shared signatures has the fewest n-grams of its own: it is near the middle of its group
+    weight = shared.groupBy("rep").agg(F.count("*").alias("weight"))
+    heads = shared.join(weight, "rep").groupBy("sig").agg(F.max_by(F.struct("rep", "n", "before"), F.struct("weight", (-F.col("rep")).alias("low"))).alias("head"))
+    led = scratch.written(shared.join(heads, "sig").where("rep != head.rep"), "led")
+    scratch.drop(shared)
+    star = led.where(_reachable("n", "before", "head.n", "head.before", num, den)).select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b")).distinct()
+    links = _verified(df, _possible(star, nodes, num, den), num, den, scratch, *how)
+    # where the nodes of a signature, the middle one left aside, are in several components: pairs across those
+    placed = led.drop("head").join(components(links).withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     mixed = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
-    sizes = nodes.select("rep", "n")
-    open_ = written(placed.join(mixed, "sig").join(sizes, "rep"), "open")
     # sizes of linked sets differ by the ratio at most: they are in the same or in neighbouring bands
     band = F.floor(F.log(F.col("n")) / math.log(den / num) + F.lit(1e-9)).cast("long")
-    left = open_.select("sig", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    right = open_.select("sig", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), band.alias("band"))
-    near = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
-    across = left.join(right, ["sig", "band"]).where("a < b and ca != cb").where(near).select("a", "b").distinct()
-    across = written(_possible(across, nodes, num, den), "across")
-    more = written(_verified(df, across, num, den, *how), "links")
-    last = components(links.union(more))
-    members = some.select("id", "n", "h1", "h2").join(reps, ["n", "h1", "h2"]).select("id", "rep").distinct()
+    open_ = scratch.written(placed.join(mixed, "sig").withColumn("band", band), "open")
+    scratch.drop(led)
+    right = open_.toDF(*[c if c in ("sig", "band") else f"{c}_" for c in open_.columns])
+    left = open_.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    across = left.join(right, ["sig", "band"]).where((F.col("rep") < F.col("rep_")) & (F.col("c") != F.col("c_")) & _reachable("n", "before", "n_", "before_", num, den))
+    more = _verified(df, _possible(across.select(F.col("rep").alias("a"), F.col("rep_").alias("b")).distinct(), nodes, num, den), num, den, scratch, *how)
+    last = components(links.union(more)).withColumnRenamed("id", "rep")
     # the set of a repeated id joins what its other sets link with
-    named = members.join(last.withColumnRenamed("id", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    return docs.join(named, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    named = members.where("rep is not null").select("id", "rep").distinct().join(last, "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+    result = members.join(named, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    result = scratch.written(result, "groups")
+    scratch.drop(nodes, open_, links, more, members)
+    return result
