@@ -108,7 +108,7 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> Mo
             step += 1
             if not len(bucket):
                 continue
-            part = count / count.sum()
+            part = count / count.sum()  # whole numbers until here: the sample takes half the room
             mean = part @ vectors[bucket]
             logits = weights @ mean + offset
             p = np.exp(logits - logits.max())
@@ -144,7 +144,7 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     kind = rows.schema["id"].dataType.simpleString()
     found = rows.mapInArrow(count, f"id {kind}, label int, bucket binary, count binary").toArrow()
     order = sorted(zip(*(found.column(c).to_pylist() for c in ("id", "label", "bucket", "count"))))
-    return fit([(np.frombuffer(b, np.int32), np.frombuffer(c, np.int32).astype(np.float64), int(y)) for _, y, b, c in order])
+    return fit([(np.frombuffer(b, np.int32), np.frombuffer(c, np.int32), int(y)) for _, y, b, c in order])
 
 
 def score(df: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
