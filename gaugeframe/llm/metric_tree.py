@@ -33,7 +33,7 @@ MOST_PIVOTS = 256
 SAMPLE = 2_048
 SHARD_ROWS = 16_384
 BLOCK_QUERIES = 4_096
-PAGE = 64
+PAGE = 512
 FAN = 16
 SLACK = 1e-7
 
@@ -49,12 +49,12 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def products(x: np.ndarray, q: np.ndarray) -> list[int]:
-    """Exact inner products of integers held as doubles; results beyond 64 bits stand at the limits."""
-    if x.size and np.abs(x).max() * max(np.abs(q).max(), 1.0) * x.shape[1] >= 2.0**53:
+def products(x: np.ndarray, q: np.ndarray, largest: float) -> np.ndarray:
+    """Exact inner products of integers held as doubles, none in x beyond ``largest``; results beyond 64 bits stand at the limits."""
+    if largest * max(np.abs(q).max(), 1.0) * x.shape[1] >= 2.0**53:
         whole = [int(b) for b in q]
-        return [max(-(2**63), min(2**63 - 1, sum(int(a) * b for a, b in zip(row, whole)))) for row in x]
-    return (x @ q).astype(np.int64).tolist()
+        return np.array([max(-(2**63), min(2**63 - 1, sum(int(a) * b for a, b in zip(row, whole)))) for row in x], np.int64)
+    return (x @ q).astype(np.int64)
 
 
 class Tree:
@@ -62,26 +62,30 @@ class Tree:
 
     def __init__(self, names: np.ndarray, x: np.ndarray, top: float):
         self.names, self.x, self.high = names, x, lifted(x, top)
-        self.pages: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[int] | None]] = []
+        self.largest = float(np.abs(x).max(initial=0))
+        self.pages: list[tuple] = []
         self._page(np.arange(len(x)), None)
-        del self.high  # a search needs the rows themselves only
+        # a page has its own names and rows, one after another
+        self.pages = [(names[rows], x[rows], *rest) for rows, *rest in self.pages]
+        del self.names, self.x, self.high
 
     def _page(self, rows: np.ndarray, parent: int | None) -> tuple[int, float]:
         """Add the page of ``rows`` below the object ``parent``; its number and covering radius."""
         number = len(self.pages)
-        self.pages.append((rows, rows, rows, None))
+        self.pages.append(())
         to_parent = np.zeros(len(rows)) if parent is None else distances(self.high[rows], self.high[[parent]])[:, 0]
         if len(rows) <= PAGE:
             self.pages[number] = (rows, np.zeros(len(rows)), to_parent, None)
             return number, float(to_parent.max(initial=0))
         # objects far from each other first, then each row below the nearest
         chosen, gap = [0], distances(self.high[rows], self.high[rows[:1]])[:, 0]
-        while len(chosen) < FAN and gap.max() > 0:
+        fan = min(FAN, -(-2 * len(rows) // PAGE))
+        while len(chosen) < fan and gap.max() > 0:
             chosen.append(int(gap.argmax()))
             gap = np.minimum(gap, distances(self.high[rows], self.high[rows[chosen[-1:]]])[:, 0])
         near = distances(self.high[rows], self.high[rows[chosen]]).argmin(axis=1)
         if len(chosen) == 1 or np.bincount(near).max() > 0.9 * len(rows):  # no way to tell them apart: even slices
-            near = np.arange(len(rows)) * FAN // len(rows)
+            near = np.arange(len(rows)) * fan // len(rows)
         objects, radii, child = [], [], []
         for g in np.unique(near):
             own = rows[near == g]
@@ -102,36 +106,34 @@ class Tree:
         """
         best: list[tuple[int, object]] = []  # a heap: the worst first
         slack = SLACK * (1 + math.sqrt(square))
-        queue, names, x = [(0.0, 0, 0.0)], self.names, self.x
+        queue = [(0.0, 0, 0.0)]
         while queue:
             low, number, from_parent = heapq.heappop(queue)
             if low > bound + slack:
                 break
-            rows, radii, to_parent, child = self.pages[number]
+            names, x, radii, to_parent, child = self.pages[number]
             if number:
                 kept = np.abs(from_parent - to_parent) - radii <= bound + slack
                 if not kept.all():
-                    rows, radii = rows[kept], radii[kept]
+                    names, x, radii = names[kept], x[kept], radii[kept]
                     child = [c for c, keep in zip(child, kept) if keep] if child else child
-            if not len(rows):
+            if not len(x):
                 continue
-            scores = products(x[rows], q)
+            scores = products(x, q, self.largest)
             if child is None:
-                least = best[0][0] if len(best) == k else None
-                for score, name in zip(scores, names[rows].tolist()):
-                    if least is not None and score < least:
-                        continue
+                # only rows that reach the worst of the best, at first the k-th of the page
+                least = best[0][0] if len(best) == k else np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else scores.min()
+                reach = np.flatnonzero(scores >= least)
+                for score, name in zip(scores[reach].tolist(), names[reach].tolist()):
                     item = (score, _Last(name))
                     if len(best) < k:
                         heapq.heappush(best, item)
                     elif best[0] < item:
                         heapq.heapreplace(best, item)
-                    if len(best) == k:
-                        least = best[0][0]
                 if len(best) == k:
                     bound = min(bound, math.sqrt(max(0.0, square - 2.0 * best[0][0])))
                 continue
-            away = np.sqrt(np.maximum(square - 2 * np.array(scores, float), 0))
+            away = np.sqrt(np.maximum(square - 2 * scores.astype(float), 0))
             for page, d, r in zip(child, away.tolist(), radii.tolist()):
                 if d - r <= bound + slack:
                     heapq.heappush(queue, (max(low, d - r), page, d))

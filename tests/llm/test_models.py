@@ -233,20 +233,18 @@ def test_metric_tree(spark, monkeypatch, scale, shard_rows):
     assert metric_tree.search(vector_table(spark, x[:4]).limit(0), F.col("id") == 0).collect() == []
 
 
-def test_tree_passes_over_pages():
+def test_tree_passes_over_pages(monkeypatch):
     """Clustered rows: most scores are never computed."""
     rng = np.random.default_rng(4)
     x = np.floor(np.vstack([rng.normal(size=(200, 8)) + 100 * c for c in rng.normal(size=(20, 8))]) * 100)
     top = float((x * x).sum(axis=1).max())
+    monkeypatch.setattr(metric_tree, "PAGE", 32)
     tree, seen = metric_tree.Tree(np.arange(len(x)), x, top), []
     plain = metric_tree.products
-    metric_tree.products = lambda rows, q: (seen.append(len(rows)), plain(rows, q))[1]
-    try:
-        for i in range(0, len(x), 400):
-            found = tree.search(x[i], 5, float(x[i] @ x[i]) + top, np.inf)
-            assert found == sorted(((int(s), n) for n, s in enumerate(x @ x[i])), key=lambda p: (-p[0], p[1]))[:5]
-    finally:
-        metric_tree.products = plain
+    monkeypatch.setattr(metric_tree, "products", lambda rows, q, largest: (seen.append(len(rows)), plain(rows, q, largest))[1])
+    for i in range(0, len(x), 400):
+        found = tree.search(x[i], 5, float(x[i] @ x[i]) + top, np.inf)
+        assert found == sorted(((int(s), n) for n, s in enumerate(x @ x[i])), key=lambda p: (-p[0], p[1]))[:5]
     assert sum(seen) < 0.5 * 10 * len(x)
 
 
