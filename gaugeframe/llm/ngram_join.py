@@ -69,10 +69,12 @@ def count_table(df: DataFrame, text: str, size: int, lowercase: bool) -> np.ndar
 
 
 def signatures(grams: np.ndarray, counts: np.ndarray, frequent: float, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of one set, and for single n-grams how many come before them: of two sets that link and differ, at least
-    one is common, and if it is a single n-gram, then also one with no common n-gram before it in either set.
+    """Signatures of one set, and how many n-grams before each are certainly not common: two sets that link and differ have
+    a signature in common for which that holds in both.
 
-    (Frequent n-grams come last: if the first common one is frequent, all are, and a pair is common.)"""
+    For a single n-gram these are all before it: take the first common one. Frequent n-grams come last, so if the first common
+    one is frequent, all are. Take then the first to be the second of its subclass: before it at most one of each subclass is
+    common, and no rare one."""
     n = len(grams)
     need = n - -(-num * n // den) + 1
     order = np.lexsort((grams, counts))
@@ -88,11 +90,13 @@ def signatures(grams: np.ndarray, counts: np.ndarray, frequent: float, num: int,
     end = int(np.searchsorted(np.cumsum(gain), need)) + 1
     grams_, often_, subclass_ = grams[:end], often[:end], subclass[:end]
     out, before = [grams_[~often_]], [np.flatnonzero(~often_)]
+    rare = np.cumsum(~often_)
     for j in range(SUBCLASSES):
-        x = np.sort(grams_[often_ & (subclass_ == j)])
-        a, b = np.triu_indices(len(x), 1)
-        out.append(W.mix(W.mix(x[a]) + x[b]))
-        before.append(np.zeros(len(a), np.int64))
+        at = np.flatnonzero(often_ & (subclass_ == j))
+        a, b = np.triu_indices(len(at), 1)
+        a, b = at[a], at[b]
+        out.append(W.mix(W.mix(grams_[a]) + grams_[b]))
+        before.append(rare[b] + np.maximum(b - rare[b] - SUBCLASSES, 0))
     if n <= small * den // num:  # may link with a small set, which has single signatures only
         single = np.flatnonzero(often[:need])
         out.append(grams[single])
