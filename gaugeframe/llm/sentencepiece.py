@@ -28,7 +28,7 @@ from gaugeframe.llm.common import lists
 MARK = "▁"
 NONE = np.int64(2**62)
 LONG_WORD = 1_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
