@@ -5,8 +5,10 @@ weight. It is filled with whole epochs first; for the rest, documents are ordere
 a hash of the id, w the document's quality weight) and taken while their prefix sum is within the budget. Documents are
 never cut: where the sum would pass the budget, later documents that still fit fill it up.
 
-The prefix sums run over key buckets first (one row per source and bucket) and over documents only within the one bucket in
-which the budget ends, so no task ever sorts a whole source, however large its share of the rows.
+The prefix sums run over key buckets first (one row per source and bucket; their number follows the rows of the source) and
+over documents only from the bucket in which the budget ends. From there on, documents no larger than what is left are
+streamed, some ``BUCKET_ROWS`` at a time, until none fits any more, so no task ever sorts a whole source, however large its
+share of the rows, and the result is that of one walk over the source, whatever the buckets are.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from gaugeframe.llm import words as W
 from gaugeframe.llm.common import written
 
-#: Documents per key bucket, about: those in the last bucket of a budget can fill it up.
+#: Documents per key bucket, about, and documents that one round tries when it fills a budget up.
 BUCKET_ROWS = 10_000
 LEAST_WEIGHT = 0.05
 
@@ -71,38 +73,71 @@ def targets(sizes: DataFrame, weights: Sequence[float], epochs: float) -> DataFr
 def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: float = 3, seed: int = 0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, size, source, source_size, target, taken, copies) of every row; ``taken`` = copies * size.
 
-    Null and empty texts have size 0. A null source is a source. Ties in the key go to the smaller id, then size; rows that
-    agree in both are alike. A rerun gives the same result, also on other partitions. Other columns are not read.
+    Null and empty texts have size 0 and are in whole epochs only. A null source is a source. Ties in the key go to the smaller
+    id, then size; rows that agree in both are alike. A rerun gives the same result, also on other partitions. Other columns
+    are not read.
     """
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(2**52)) + 0.5) / F.lit(float(2**52))
     docs = measured(df, key, text, source).withColumn("e", -F.log(uniform) / F.col("weight")).drop("weight")
     docs = written(docs, "sizes")
-    buckets = 1 + docs.count() // BUCKET_ROWS
-    docs = docs.withColumn("b", F.floor(F.lit(buckets) * F.col("e") / (1 + F.col("e"))))
-    sums = docs.groupBy("source", "b").agg(F.sum("size").alias("size"))
-    plan = targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
-    plan = plan.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size") + F.lit(1e-12)), F.lit(0)))
-    plan = written(plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "targets")
     named = F.struct("source").alias("s")  # a struct is never null, so a null source joins as well
+    sources = written(docs.groupBy("source").agg(F.sum("size").alias("source_size"), (1 + F.floor(F.count("*") / BUCKET_ROWS)).alias("buckets")), "sources")
+    plan = targets(sources.select("source", "source_size"), weights, epochs)
+    plan = plan.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size") + F.lit(1e-12)), F.lit(0)))
+    plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).select(named, "source_size", "target", "epochs", "rest")
+    plan = written(plan.join(sources.select(named, "buckets"), "s"), "targets")
+    rows = docs.select("*", named).join(plan, "s").withColumn("b", F.floor(F.col("buckets") * F.col("e") / (1 + F.col("e")))).drop("buckets")
+    rows = written(rows, "buckets")
 
     up_to = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    fills = sums.select(named, "b", "size").withColumn("before", F.coalesce(F.sum("size").over(up_to), F.lit(0)))
-    fills = fills.join(plan.select(named, "rest"), "s")
-    ends = written(fills.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") > F.col("rest"))).select("s", F.col("b").alias("end"), "before"), "ends")
-    limits = plan.select(named, "source_size", "target", "epochs", "rest").join(ends.select("s", "end", "before"), "s", "left")
-    rows = docs.select("*", named).join(limits, "s").drop("s")
-    sure = rows.where("end is null or b != end")
-    sure = sure.withColumn("more", F.when(F.col("end").isNull(), F.col("rest") >= F.col("source_size")).otherwise(F.col("b") < F.col("end")))
-    edge = _filled(rows.where("b = end"))
+    sums = rows.groupBy("s", "b").agg(F.sum("size").alias("size"), F.first("rest").alias("rest"))
+    fills = sums.withColumn("before", F.coalesce(F.sum("size").over(up_to), F.lit(0)))
+    ends = fills.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") > F.col("rest")))
+    ends = written(ends.select("s", F.col("b").alias("end"), (F.col("rest") - F.col("before")).alias("left")), "ends")
+    edges, tried = _filled_up(rows, ends)
+    limits = ends.select("s", "end").join(tried, "s", "left")
+    sure = rows.join(limits, "s", "left")
+    again = F.exists("tried", lambda t: (F.col("b") >= t["b_from"]) & (F.col("b") <= t["b_to"]) & (F.col("size") <= t["left"]))
+    sure = sure.where((F.col("size") == 0) | F.col("tried").isNull() | ~again)
+    more = F.when(F.col("end").isNull(), F.col("rest") >= F.col("source_size")).otherwise(F.col("b") < F.col("end"))
+    found = sure.withColumn("more", (F.col("size") > 0) & more)
+    for edge in edges:
+        found = found.select(*edge.columns).unionByName(edge)
     copies = F.col("epochs").cast("long") + F.col("more").cast("long")
-    return sure.unionByName(edge).select(F.col("id").alias(key), "size", F.col("source").alias(source), "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return found.select(F.col("id").alias(key), "size", F.col("source").alias(source), "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def _filled_up(rows: DataFrame, ends: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """The documents tried one by one from the buckets in which budgets end, with ``more``, a table for each round; and which these are,
+    as (s, tried): from bucket ``b_from`` to ``b_to``, those with words and not larger than ``left``.
+
+    A round takes the next buckets in which some ``BUCKET_ROWS`` documents are not larger than what is left. All that it leaves
+    out are larger than what is left then, so the next rounds have few to try, and the last finds none.
+    """
+    state, edges = ends.select("s", F.col("end").alias("b_from"), "left"), []
+    tried = ends.select("s", F.lit(None).cast("array<struct<b_from: long, b_to: long, left: double>>").alias("tried"))
+    before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        fit = rows.join(state, "s").where((F.col("size") > 0) & (F.col("b") >= F.col("b_from")) & (F.col("size") <= F.col("left")))
+        counts = fit.groupBy("s", "b").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        ranges = written(state.join(counts.where(F.col("before") < BUCKET_ROWS).groupBy("s").agg(F.max("b").alias("b_to")), "s"), "ranges")
+        if ranges.isEmpty():
+            return edges, written(tried, "tried")
+        now = fit.join(ranges.select("s", "b_to"), "s").where("b <= b_to")
+        edges.append(written(_filled(now).select("id", "size", "source", "s", "source_size", "target", "epochs", "more"), "edge"))
+        used = edges[-1].where("more").groupBy("s").agg(F.sum("size").alias("used"))
+        left = F.col("left") - F.coalesce("used", F.lit(0))
+        state = written(ranges.join(used, "s", "left").select("s", (F.col("b_to") + 1).alias("b_from"), left.alias("left")), "left")
+        this = ranges.select("s", F.array(F.struct("b_from", "b_to", "left")).alias("this"))
+        joined = F.concat(F.coalesce("tried", F.expr("cast(array() as array<struct<b_from: long, b_to: long, left: double>>)")), F.col("this"))
+        tried = written(tried.join(this, "s", "left").select("s", F.coalesce(joined, F.col("tried")).alias("tried")), "tried")
 
 
 def _filled(edge: DataFrame) -> DataFrame:
-    """The rows of the buckets in which budgets end, with ``more``: whether the document is taken once more.
+    """The rows with ``more``: whether the document is taken once more.
 
-    In the order of the keys, each document that still fits is taken. One task streams the bucket of a source in order and
-    keeps the remaining budget only.
+    In the order of the keys, each document that still fits into ``left`` is taken. One task streams the rows of a source in
+    order and keeps the remaining budget only.
     """
     names = [f.name for f in edge.schema.fields]
 
@@ -110,9 +145,9 @@ def _filled(edge: DataFrame) -> DataFrame:
         at, left = None, 0.0
         for batch in batches:
             more = []
-            for name, size, rest, before in zip(*(batch.column(c).to_pylist() for c in ("source", "size", "rest", "before"))):
+            for name, size, budget in zip(*(batch.column(c).to_pylist() for c in ("source", "size", "left"))):
                 if at != (name,):
-                    at, left = (name,), rest - before
+                    at, left = (name,), budget
                 more.append(size <= left)
                 left -= size if more[-1] else 0
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(more, pa.bool_())], [*names, "more"])

@@ -263,6 +263,30 @@ def test_mixture(spark, monkeypatch, bucket_rows):
     assert mixing.mix(data.limit(0)).collect() == []
 
 
+def test_budgets_are_filled_up_whatever_other_sources_hold(spark, monkeypatch):
+    """A small source beside a large one, with some very long documents: none that is left out would still fit."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    rng = random.Random(8)
+    docs = [(i, "word " * (900 if i % 9 == 0 else rng.randrange(3, 30))) for i in range(60)]
+    docs += [(1000 + i, "word " * 50) for i in range(1500)]
+    got = mixing.mix(table(spark, docs, {i: "b" if i >= 1000 else "a" for i, _ in docs}), weights=(1, 30)).collect()
+    assert len(got) == len(docs)
+    mine = [r for r in got if r.source == "a"]
+    left = mine[0].target - sum(r.taken for r in mine)
+    assert 0 <= left < min(r.size for r in mine if r.copies == 0)
+
+
+def test_mixture_of_a_source_does_not_depend_on_buckets(spark, monkeypatch):
+    rng = random.Random(9)
+    docs = [(i, "word " * rng.choice([0, 1, 2, 7, 40, 400]) + "1 " * rng.randrange(5)) for i in range(300)]
+    data = table(spark, docs, {i: "abc"[i % 7 % 3] for i, _ in docs})
+    got = []
+    for rows in (3, 40, 10_000):
+        monkeypatch.setattr(mixing, "BUCKET_ROWS", rows)
+        got.append(sorted(map(str, mixing.mix(data).collect())))
+    assert got[0] == got[1] == got[2]
+
+
 def test_heavier_documents_are_taken_more_often(spark):
     """Of two sources with the same budget for a part of it, documents of letters come before those of digits."""
     docs = [(i, "word " * 10 if i % 2 else "1234 " * 10) for i in range(400)]
