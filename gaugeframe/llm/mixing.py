@@ -92,7 +92,7 @@ def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: float = 3,
     up_to = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("s", "b").agg(F.sum("size").alias("size"), F.first("rest").alias("rest"))
     fills = sums.withColumn("before", F.coalesce(F.sum("size").over(up_to), F.lit(0)))
-    ends = fills.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") > F.col("rest")))
+    ends = fills.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") >= F.col("rest")))
     ends = written(ends.select("s", F.col("b").alias("end"), (F.col("rest") - F.col("before")).alias("left")), "ends")
     edges, tried = _filled_up(rows, ends)
     limits = ends.select("s", "end").join(tried, "s", "left")

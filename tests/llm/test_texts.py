@@ -287,6 +287,15 @@ def test_mixture_of_a_source_does_not_depend_on_buckets(spark, monkeypatch):
     assert got[0] == got[1] == got[2]
 
 
+def test_a_budget_that_ends_with_a_bucket_is_used(spark, monkeypatch):
+    """Documents of one size, one in a bucket: every end of a document is a bucket's end."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 1)
+    docs = [(i, "word " * 10) for i in range(40)]
+    got = mixing.mix(table(spark, docs, {i: "a" if i < 10 else "b" for i in range(40)}), weights=(1, 1)).collect()
+    assert {r.source: r.target for r in got} == {"a": 200, "b": 200}
+    assert Counter((r.source, r.copies) for r in got) == {("a", 2): 10, ("b", 1): 20, ("b", 0): 10}
+
+
 def test_heavier_documents_are_taken_more_often(spark):
     """Of two sources with the same budget for a part of it, documents of letters come before those of digits."""
     docs = [(i, "word " * 10 if i % 2 else "1234 " * 10) for i in range(400)]
