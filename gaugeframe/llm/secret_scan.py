@@ -1,9 +1,12 @@
 """Secret scans (operator 5): fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
-Candidates are runs of token characters. A window slides over each; the counts of its characters and of the classes
-lower case, upper case and digits are updated by the one character that enters and the one that leaves, and with them
-sum(c log c), from which the entropy follows. Windows above the threshold of the candidate's alphabet are united to
-spans of kind ``entropy``, unless the candidate is allow-listed or a base span covers the window already.
+Candidates are runs of token characters. A window slides over each; the counts of its characters and of their classes
+are updated by the one character that enters and the one that leaves, and with them sum(c log c), from which the entropy
+follows. The classes in a window tell its alphabet (digits, hex, one case, one case with digits, two cases, two cases with digits),
+and the least entropy is that of nearly all random strings over this alphabet. Joined words of a language reach it as well in
+the small alphabets; their letters, however, are the frequent ones, so letters must also be as rare in texts as random letters are.
+Windows that pass are united to spans of kind ``entropy``, unless the candidate is allow-listed or a base span covers the
+window already.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from statistics import mean, pstdev
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,22 +38,58 @@ ALLOWED = (
     r"(?i)abcdefgh|01234567|qwertyui",
     r"^(?:/|[a-z]+[-_/])+[a-z]*$",  # paths and slugs
 )
+#: Symbols of an alphabet by the classes in a window: lower case, upper case, digits. One case with digits may be base32.
+SYMBOLS = {(0, 0, 1): 10, (1, 0, 0): 26, (0, 1, 0): 26, (1, 0, 1): 32, (0, 1, 1): 32, (1, 1, 0): 52, (1, 1, 1): 62}
+#: Letters in 1,000 of English, German, French and Spanish texts, about; their rarity is -log2 of the share.
+SHARE = dict(zip("abcdefghijklmnopqrstuvwxyz", (86, 15, 33, 44, 155, 14, 19, 29, 70, 3, 6, 48, 26, 78, 64, 23, 6, 68, 73, 74, 42, 11, 10, 2, 9, 5)))
+RARITY = {x: -math.log2(n / 1000) for c, n in SHARE.items() for x in (c, c.upper())}
+#: Mean and standard deviation of the rarity of a random letter.
+LETTERS = (mean(RARITY.values()), pstdev(RARITY.values()))
+
+
+@lru_cache
+def expected(symbols: int, size: int) -> tuple[float, float]:
+    """Mean and standard deviation of the entropy of ``size`` random symbols of an alphabet, exact by its binomial counts."""
+    f = [c * math.log2(c) if c else 0.0 for c in range(size + 1)]
+
+    def binomial(n: int, p: float) -> list[float]:
+        return [math.comb(n, c) * p**c * (1 - p) ** (n - c) for c in range(n + 1)]
+
+    one = binomial(size, 1 / symbols)
+    first = sum(p * f[c] for c, p in enumerate(one))
+    square = sum(p * f[c] ** 2 for c, p in enumerate(one))
+    both = sum(p * f[a] * sum(q * f[b] for b, q in enumerate(binomial(size - a, 1 / (symbols - 1)))) for a, p in enumerate(one))
+    variance = symbols * square + symbols * (symbols - 1) * both - (symbols * first) ** 2
+    return math.log2(size) - symbols * first / size, math.sqrt(variance) / size
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Window length and least entropy (bits a character) by alphabet, least number of classes, allow-list."""
+    """Window lengths, entropies (bits a character), allow-list.
+
+    A window of ``window`` characters of one alphabet, without separators, passes from ``deviations`` standard deviations below
+    the entropy, and ``letter_deviations`` below the rarity of letters, that are expected of random strings. Whatever its alphabet, it passes from ``bits`` with
+    ``classes`` classes; a candidate of hex digits only also in windows of ``hex_window`` from ``hex_bits``.
+    """
 
     hex_window: int = 32
     hex_bits: float = 3.0
     window: int = 24
     bits: float = 3.9
     classes: int = 2
+    deviations: float = 2.6
+    letter_deviations: float = 2.2
     allowed: tuple[str, ...] = field(default=ALLOWED)
 
 
 def entropies(text: str, size: int) -> Iterator[tuple[int, float, int]]:
     """Start, entropy and number of character classes of every window of ``size`` characters, by incremental counts."""
+    for at, entropy, classes in _windows(text, size):
+        yield at, entropy, sum(x > 0 for x in classes[:3])
+
+
+def _windows(text: str, size: int) -> Iterator[tuple[int, float, list[int]]]:
+    """Start, entropy and counts of the classes of every window; the list of counts is the same one in all steps."""
     counts: dict[str, int] = {}
     classes = [0, 0, 0, 0]
     total, whole = 0.0, math.log2(size)
@@ -64,13 +105,28 @@ def entropies(text: str, size: int) -> Iterator[tuple[int, float, int]]:
             total += ((n - 1) * math.log2(n - 1) if n > 1 else 0.0) - n * math.log2(n)
             classes[_class(old)] -= 1
         if i >= size - 1:
-            yield i - size + 1, whole - total / size, sum(x > 0 for x in classes[:3])
+            yield i - size + 1, whole - total / size, classes
 
 
 def _class(c: str) -> int:
     return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
 
 
+def _random(window: str, entropy: float, classes: list[int], settings: Settings) -> bool:
+    """Whether a window is like random symbols of the alphabet that its classes tell."""
+    if classes[3]:
+        return False
+    is_hex = classes[2] > 0 and HEX_ONLY.fullmatch(window) is not None
+    symbols = 16 if is_hex and classes[2] < len(window) else SYMBOLS[tuple(int(x > 0) for x in classes[:3])]
+    usual, deviation = expected(symbols, len(window))
+    if entropy < usual - settings.deviations * deviation:
+        return False
+    if is_hex:
+        return True
+    letters = [RARITY[c] for c in window if c in RARITY]
+    return sum(letters) >= len(letters) * LETTERS[0] - settings.letter_deviations * LETTERS[1] * math.sqrt(len(letters))
+
+
 def find(text: str | None, settings: Settings = Settings()) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all secrets in a text, by start and kind; code points, end exclusive."""
     if not text:
@@ -87,15 +143,19 @@ def find(text: str | None, settings: Settings = Settings()) -> list[tuple[str, i
         token = m[0]
         if any(re.search(p, token) for p in settings.allowed):
             continue
-        is_hex = HEX_ONLY.fullmatch(token) is not None
-        size, bits, classes = (settings.hex_window, settings.hex_bits, 1) if is_hex else (settings.window, settings.bits, settings.classes)
+        hits = []
+        for at, entropy, classes in _windows(token, settings.window):
+            mixed = entropy >= settings.bits and sum(x > 0 for x in classes[:3]) >= settings.classes
+            if mixed or _random(token[at : at + settings.window], entropy, classes, settings):
+                hits.append((at, at + settings.window))
+        if HEX_ONLY.fullmatch(token):
+            hits += [(at, at + settings.hex_window) for at, entropy, _ in _windows(token, settings.hex_window) if entropy >= settings.hex_bits]
         found: list[list[int]] = []
-        for at, entropy, kinds in entropies(token, size):
-            if entropy >= bits and kinds >= classes:
-                if found and at <= found[-1][1]:
-                    found[-1][1] = at + size
-                else:
-                    found.append([at, at + size])
+        for at, end in sorted(hits):
+            if found and at <= found[-1][1]:
+                found[-1][1] = max(found[-1][1], end)
+            else:
+                found.append([at, end])
         for a, b in found:
             a, b = a + m.start(), b + m.start()
             if not any(x <= a and b <= y for x, y in base):

@@ -161,6 +161,22 @@ def test_entropy_windows():
     assert secret_scan.find("donaudampfschifffahrtsgesellschaft") == []
 
 
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+@pytest.mark.parametrize("size", [24, 32])
+@pytest.mark.parametrize("alphabet", [DIGITS, DIGITS + "ABCDEF", LOWER, UPPER, LOWER + DIGITS, UPPER + "234567", LOWER + UPPER, LOWER + UPPER + DIGITS, LOWER + UPPER + DIGITS + "+/"])
+def test_random_tokens_of_every_alphabet_are_found(alphabet, size):
+    rng = random.Random(11)
+    tokens = ["".join(rng.choice(alphabet) for _ in range(size)) for _ in range(1000)]
+    assert sum(bool(secret_scan.find(f"see {t} here")) for t in tokens) >= 960
+
+
+def test_joined_words_of_one_case_are_no_secrets():
+    for name in ("donaudampfschifffahrtsgesellschaft", "bundesausbildungsfoerderungsgesetz", "internationalizationofapplications", "ARTICLESOFCONFEDERATIONANDUNION", "anticonstitutionnellementparlant"):
+        assert secret_scan.find(f"the {name} here") == []
+
+
 def test_redaction(spark):
     docs = table(spark, [(1, "my token = abcdefgh1 ok"), (2, None), (3, "a " + "0123456789abcdef" * 2), (4, "plain")])
     assert sorted((r.doc_id, r.text) for r in secret_scan.redact(docs).collect()) == [(1, "my [SECRET] ok"), (2, None), (3, "a [SECRET]"), (4, "plain")]
