@@ -5,8 +5,8 @@ are updated by the one character that enters and the one that leaves, and with t
 follows. The classes in a window tell its alphabet (digits, hex, one case, one case with digits, two cases, two cases with digits),
 and the least entropy is that of nearly all random strings over this alphabet. Joined words of a language reach it as well in
 the small alphabets; their letters, however, are the frequent ones, so letters must also be as rare in texts as random letters are.
-Windows that pass are united to spans of kind ``entropy``, unless the candidate is allow-listed or a base span covers the
-window already.
+Windows that pass are united to spans of kind ``entropy``, unless they overlap a match of the allow-list or a base span covers
+them already.
 """
 
 from __future__ import annotations
@@ -141,8 +141,7 @@ def find(text: str | None, settings: Settings = Settings()) -> list[tuple[str, i
     base = sorted((a, b) for _, a, b in spans)
     for m in CANDIDATE.finditer(text):
         token = m[0]
-        if any(re.search(p, token) for p in settings.allowed):
-            continue
+        allowed = [a.span() for p in settings.allowed for a in re.finditer(p, token)]
         hits = []
         for at, entropy, classes in _windows(token, settings.window):
             mixed = entropy >= settings.bits and sum(x > 0 for x in classes[:3]) >= settings.classes
@@ -152,6 +151,8 @@ def find(text: str | None, settings: Settings = Settings()) -> list[tuple[str, i
             hits += [(at, at + settings.hex_window) for at, entropy, _ in _windows(token, settings.hex_window) if entropy >= settings.hex_bits]
         found: list[list[int]] = []
         for at, end in sorted(hits):
+            if any(at < b and a < end for a, b in allowed):
+                continue
             if found and at <= found[-1][1]:
                 found[-1][1] = max(found[-1][1], end)
             else:

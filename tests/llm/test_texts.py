@@ -177,6 +177,14 @@ def test_joined_words_of_one_case_are_no_secrets():
         assert secret_scan.find(f"the {name} here") == []
 
 
+def test_keys_beside_allowed_words_are_found():
+    key = "q7Rk2LmZ9xTw4VbN8sHd3JfG"
+    for before in ("/home/sample/keys/", "01234567=", "123e4567-e89b-12d3-a456-426614174000_"):
+        [(kind, a, b)] = secret_scan.find(f"{before}{key} end")
+        assert kind == "entropy" and b == len(before) + len(key) and a <= len(before)
+    assert secret_scan.find("in /home/sample/keys/of/some/more/people and 123e4567-e89b-12d3-a456-426614174000") == []
+
+
 def test_redaction(spark):
     docs = table(spark, [(1, "my token = abcdefgh1 ok"), (2, None), (3, "a " + "0123456789abcdef" * 2), (4, "plain")])
     assert sorted((r.doc_id, r.text) for r in secret_scan.redact(docs).collect()) == [(1, "my [SECRET] ok"), (2, None), (3, "a [SECRET]"), (4, "plain")]
