@@ -3,7 +3,8 @@
 On a bounded sample, the graph of each vector's nearest neighbours is cut into balanced parts with few edges between them,
 and a softmax classifier learns to tell from a vector the parts of its neighbours. Every row is indexed under its most
 probable part. A query is routed to its most probable parts, as many as give the wanted recall on sample vectors that
-the classifier has not seen, and all vectors there are ranked by the exact product.
+the classifier has not seen, and to further ones until they hold as many vectors as are asked for; all vectors there are
+ranked by the exact product.
 
 Parts are dealt out in blocks of bounded numbers of rows and queries, so neither an uneven part nor a common vector makes
 a task large (equal vectors are one entry).
@@ -149,14 +150,20 @@ def search(df: DataFrame, asked: F.Column, k: int = 20, key: str = "vec_id", vec
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                go = shared.value.order(V.matrix(b["v"]))[:, : shared.value.probes]
-                yield pd.DataFrame({"query": np.repeat(b["query"].to_numpy(), go.shape[1]), "v": np.repeat(b["v"].to_numpy(), go.shape[1]), "part": go.ravel()})
+                go = shared.value.order(V.matrix(b["v"]))
+                # a part is visited if those before it are too few or hold too little (one entry may be the query's own)
+                visited = (np.arange(go.shape[1]) < shared.value.probes) | (np.cumsum(held[go], axis=1) - held[go] < k + 1)
+                times = visited.sum(axis=1)
+                yield pd.DataFrame({"query": np.repeat(b["query"].to_numpy(), times), "v": np.repeat(b["v"].to_numpy(), times), "part": go[visited]})
 
     base = written(index.select("entry", "v", "mark").mapInPandas(indexed, f"entry {kind}, v binary, mark long, part long"), "base")
+    # at most MOST_PARTS rows: entries by part
+    sizes = {r["part"]: r["count"] for r in base.groupBy("part").count().collect()}
+    held = np.array([sizes.get(p, 0) for p in range(router.weights.shape[1])], np.int64)
     queries = rows.where(asked).join(index.select("v", F.col("entry").alias("query")), "v").select("query", "v").distinct()
     queries = written(queries.mapInPandas(routed, f"query {kind}, v binary, part long"), "queries")
-    # at most MOST_PARTS rows each: how many blocks a part takes
-    blocks = {r["part"]: -(-r["count"] // BLOCK_ROWS) for r in base.groupBy("part").count().collect()}
+    # how many blocks a part takes; turns are at most MOST_PARTS rows as well
+    blocks = {p: -(-n // BLOCK_ROWS) for p, n in sizes.items()}
     turns = {r["part"]: -(-r["count"] // BLOCK_QUERIES) for r in queries.groupBy("part").count().collect()}
 
     def number(counts: dict[int, int]) -> F.Column:

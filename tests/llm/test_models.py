@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -208,6 +209,16 @@ def test_learned_partitions(spark, monkeypatch):
     assert learned_partitions.search(vector_table(spark, x[:4]).limit(0), F.col("id") == 0).collect() == []
 
 
+def test_queries_in_small_parts_get_all_they_ask_for(spark, monkeypatch):
+    """Thirty parts of some five vectors each, of which a query would visit one."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 8))
+    monkeypatch.setattr(learned_partitions, "fit", lambda *args: learned_partitions.Router(np.random.default_rng(5).normal(size=(9, 30)), 1))
+    for rows, wanted in ((150, 20), (12, 11)):
+        got = learned_partitions.search(vector_table(spark, x[:rows]), F.col("id") % 5 == 0, 20).collect()
+        assert Counter(r.query_id for r in got) == dict.fromkeys(range(0, rows, 5), wanted)
+
+
 def test_parts_are_balanced():
     x = np.random.default_rng(2).normal(size=(1000, 6))
     near = learned_partitions.neighbours(x, x, 8, True)
