@@ -128,10 +128,12 @@ def held_out(key: str) -> Column:
 
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled documents that are not held out. Null labels and ids are left out; further columns
-    of either table are not read. The sample is chosen from the labels alone, so the documents are not shuffled."""
+    of either table are not read. The sample is chosen from the labels alone, so only its documents are shuffled: of rows with one
+    id, which are combined in each task before, the text with the smallest digest is taken."""
     known = labels.select(F.col(f"`{key}`").alias("id"), F.col(f"`{label}`").alias("label")).where("id is not null and label in (0, 1)").where(~held_out("id"))
     chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
-    rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "id")
+    rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen.distinct()), "id")
+    rows = rows.groupBy("id", "label").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.pieces(batches, "text"):

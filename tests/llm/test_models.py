@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -165,6 +166,19 @@ def test_classifier_on_held_out_documents(spark):
     assert quality.score(docs.limit(0), none).collect() == [] and set(none.scores(["a", None])) == {0.5}
 
 
+def test_repeated_documents_are_one_example(spark, monkeypatch):
+    """A labelled id that many rows repeat, with texts of their own, counts once, and always with the same text."""
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = [(i, f"text of {i}") for i in ids] + [(ids[0], f"other text {n}") for n in range(300)] + [(ids[0], None), (ids[1], f"text of {ids[1]}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    marks = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda examples: seen.append([(b.tolist(), c.tolist(), y) for b, c, y in examples]))
+    quality.train(df, marks)
+    quality.train(df.repartition(7), marks)
+    assert len(seen[0]) == len(ids) and seen[0] == seen[1]
+
+
 def vectors(n, rng, width=8):
     x = rng.normal(size=(n, width))
     x[n // 2 : n // 2 + n // 3] = x[0]  # a third of all rows hold one vector
