@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeframe.llm import chat, learned_partitions, metric_tree, mixing, ngram_join, phrase_dedup, pii, quality, secret_scan, sentencepiece
-from gaugeframe.llm.common import read
+from gaugeframe.llm import (
+    alignment,
+    chat,
+    decision_list,
+    learned_partitions,
+    metric_tree,
+    mixing,
+    ngram_join,
+    phrase_dedup,
+    pii,
+    quality,
+    secret_scan,
+    sentencepiece,
+    threshold_clusters,
+)
+from gaugeframe.llm.common import read, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -140,3 +154,54 @@ n AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
   sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
+@query
+def op11_threshold_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_clusters.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def _clusters_sql(k: int = 16, rounds: int = 3, dimensions: int = 64, scale: int = 64) -> str:
+    """Rounds as a chain of tables: c0 holds the first centroids, a1 the first assignment, c1 the centroids after it."""
+    places = f"range(1, {dimensions + 1})"
+    parts = [
+        f"v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor({scale} * x::DOUBLE) AS BIGINT)) AS v FROM embeddings"
+        f" WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM v QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id), v) <= {k})",
+    ]
+    for i in range(1, rounds + 2):
+        parts.append(
+            f"a{i} AS (SELECT r, vec_id, v.v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.r, v.vec_id, v.v, c.c,"
+            f" list_sum(list_transform({places}, lambda j: (v.v[j] - c.v[j]) * (v.v[j] - c.v[j]))) AS d FROM v, c{i - 1} c) v GROUP BY r, vec_id, v.v)")
+        if i <= rounds:
+            parts.append(
+                f"c{i} AS (SELECT c0.c, coalesce(m.v, c0.v) AS v FROM c{i - 1} c0 LEFT JOIN (SELECT c, list(CAST(floor(s / n) AS BIGINT) ORDER BY j) AS v FROM"
+                f" (SELECT c, j, sum(v[j])::BIGINT AS s, count(*) AS n FROM a{i}, unnest({places}) AS u(j) GROUP BY c, j) GROUP BY c) m ON m.c = c0.c)")
+    last = rounds + 1
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT a.vec_id, a.c::INTEGER AS cluster, a.d::BIGINT AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+  (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{last} a JOIN c{rounds} c ON c.c = a.c"""
+
+
+CHECKS["op11_threshold_clusters"] = _clusters_sql()
+
+
+def byte_model() -> bytes:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        return f.read()
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(read(spark, sf_dir, "documents"), byte_model(), piece_model())
+
+
+@query
+def op13_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    measured = written(decision_list.measure(docs, keep_text=False), "statistics")
+    rules = decision_list.learn(measured, read(spark, sf_dir, "labels"))
+    return decision_list.judge(measured, rules).select("doc_id", *decision_list.COUNTS, "base_failed", "kept", "rule")
