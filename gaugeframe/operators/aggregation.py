@@ -7,13 +7,13 @@ shuffle, so a key holding a large part of the rows sends one row per task.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.ratios import percent
 from gaugeframe.functions.regions import EUROPE_PARTS, CompositeRegion, region_group
+from gaugeframe.operators.moments import correlations
 
 MIN_CASES = 1000  # below it a fatality ratio is not shown
 
@@ -224,24 +224,9 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlations as (variable, other, correlation) rows, each over the rows known on
     both sides; null where a side does not vary.
 
-    One aggregation with a few sums per pair; each task sends one row over the network.
+    One pass keeps a matrix of moments per task; the columns of a task's matrix go over the network.
     """
-    pairs = list(combinations(columns, 2)) + [(c, c) for c in columns]
-    number = {pair: i for i, pair in enumerate(pairs)}
-    sums = []
-    for (a, b), i in number.items():
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-        spread = F.stddev_pop(x) * F.stddev_pop(y)
-        sums.append(F.struct(F.lit(i).alias("pair"), F.try_divide(F.covar_pop(x, y), spread).alias("correlation")))
-    found = df.agg(F.array(*sums).alias("found")).select(F.inline("found"))
-    names = [
-        F.struct(F.lit(x).alias("variable"), F.lit(y).alias("other"), F.lit(number[pair]).alias("pair"))
-        for pair in pairs
-        for x, y in sorted({pair, pair[::-1]})
-    ]
-    asked = df.sparkSession.range(1).select(F.inline(F.array(*names)))
-    return asked.join(found, "pair", "left").drop("pair")
+    return correlations(df, columns)
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from gaugeframe.functions.categories import labelled
 from gaugeframe.operators.ordered import fill_from_neighbours
-from gaugeframe.operators.percentiles import exact_percentiles
+from gaugeframe.operators.percentiles import percentile_values
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -42,8 +42,10 @@ def fill_constant(df: DataFrame, columns: Sequence[str], value: float = 0) -> Da
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     """Exact median per column, one number each."""
-    rows = exact_percentiles(df, columns, [0.5]).collect()  # one row per column
-    return {r["column"]: r["value"] for r in rows}
+    if not columns:
+        return {}
+    found, _ = percentile_values(df, columns, [0.5])
+    return {c: found[c, 0.5] for c in columns}
 
 
 def fill_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:

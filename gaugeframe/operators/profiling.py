@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeframe.operators.cleaning import columns_of, numeric_columns, text_columns
-from gaugeframe.operators.percentiles import percentiles_of_counts, value_counts
+from gaugeframe.operators.percentiles import known, percentile_values
 
 
 def preview(df: DataFrame, order_by: Sequence[str], rows: int = 5) -> DataFrame:
@@ -20,28 +20,19 @@ def preview(df: DataFrame, order_by: Sequence[str], rows: int = 5) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum, one row per numeric column.
 
-    One pass over the table counts values; all figures follow from the counts.
+    One pass for the moments and the brackets of the quartiles, one for what lies inside the brackets; larger tables take a few more.
     """
     columns = list(columns or numeric_columns(df))
-    counts = value_counts(df, columns)
-    value, n = F.col("value"), F.col("n")
-    first = counts.groupBy("column").agg(
-        F.sum("n").alias("count"), (F.sum(value * n) / F.sum("n")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max")
-    )
-    # around the mean, so that little is lost where values are large and their spread is small
-    spread = counts.join(F.broadcast(first.select("column", "mean")), "column")
-    spread = spread.groupBy("column").agg(F.sum(n * (value - F.col("mean")) * (value - F.col("mean"))).alias("squares"))
-    quartiles = percentiles_of_counts(counts, columns, [0.25, 0.5, 0.75])
-
-    def at(p: float) -> Column:
-        return F.max(F.when(F.col("probability") == p, F.col("value")))
-
-    wide = quartiles.groupBy("column").agg(at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"))
-    whole = wide.join(first, "column", "left").join(spread, "column", "left")
-    return whole.select(
-        "column", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), "mean",
-        F.sqrt(F.try_divide("squares", F.nullif(F.col("count") - 1, F.lit(0)))).alias("std"), "min", "p25", "p50", "p75", "max",
-    )
+    figures = ("count", "mean", "std", "min", "max")
+    extra = [f(known(df, c)) for c in columns for f in (F.count, F.avg, F.stddev_samp, F.min, F.max)]
+    quartiles, row = percentile_values(df, columns, [0.25, 0.5, 0.75], extra)
+    rows = []
+    for i, c in enumerate(columns):
+        value = {f: row[f"extra{i * len(figures) + j}"] for j, f in enumerate(figures)}
+        value |= {name: quartiles[c, p] for name, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))}
+        cells = [F.lit(value[n]).cast("bigint" if n == "count" else "double").alias(n) for n in ("count", "mean", "std", "min", "p25", "p50", "p75", "max")]
+        rows.append(F.struct(F.lit(c).alias("column"), *cells))
+    return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
 
 
 def summary(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gaugeframe.operators import aggregation as agg
 from gaugeframe.operators import comparison as cmp
 from gaugeframe.operators import latest as lat
-from tests.helpers import day, rows
+from tests.helpers import day, plan_of, rows
 
 SCHEMA = "Date_reported date, Country string, WHO_region string, New_cases double, Cumulative_cases double, Cumulative_deaths double"
 D1, D2 = day("2021-01-01"), day("2021-01-02")
@@ -91,6 +91,35 @@ def test_correlations_equal_pandas_with_missing_values(spark):
         assert (value is None and np.isnan(expected.loc[x, y])) or value == pytest.approx(expected.loc[x, y], rel=1e-9)
 
 
+def test_correlations_of_sixty_columns_with_large_means(spark):
+    """One pass, any partitioning: means of a thousand millions over a spread of one, columns that are constant where the other is known."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(4000, 1))
+    x = 1e9 + base * rng.normal(size=(1, 60)) + rng.normal(size=(4000, 60))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 58] = np.where(np.arange(4000) < 10, 3.25, np.nan)
+    x[:10, 57] = 0.1
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(60)])
+    df = spark.createDataFrame(pdf)
+    expected = pdf.corr()
+    expected.loc["c57", "c58"] = expected.loc["c58", "c57"] = np.nan
+    for parts in (1, 7):
+        got = agg.correlation_matrix(df.repartition(parts), list(pdf.columns)).collect()
+        assert len(got) == 3600
+        for variable, other, value in got:
+            want = expected.loc[variable, other]
+            assert (value is None and np.isnan(want)) or value == pytest.approx(want, abs=2e-7)
+    plan = plan_of(agg.correlation_matrix(df, list(pdf.columns)))
+    assert plan.count("MapInArrow") == 2
+
+
+def test_correlations_of_an_empty_table_and_of_long_columns(spark):
+    df = spark.createDataFrame([], "a long, b double")
+    assert {tuple(r) for r in agg.correlation_matrix(df, ["a", "b"]).collect()} == {(x, y, None) for x in "ab" for y in "ab"}
+    df = spark.createDataFrame([(1, 2.0), (2, 4.0), (None, 5.0), (4, float("nan"))], "a long, b double")
+    assert {(r.variable, r.other): r.correlation for r in agg.correlation_matrix(df, ["a", "b"]).collect()}["a", "b"] == pytest.approx(1)
+
+
 def test_histogram_equals_numpy(spark):
     values = [0.0, 0.1, 1.0, 9.99, 10.0, 10.0, 5.0]
     counts, edges = np.histogram(values, bins=20)

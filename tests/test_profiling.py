@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from gaugeframe.operators import ordered
 from gaugeframe.operators import profiling as prf
 from gaugeframe.operators import selection as sel
-from gaugeframe.operators.percentiles import percentiles_of_counts, value_counts
+from gaugeframe.operators import percentiles as pct
+from gaugeframe.operators.percentiles import exact_percentiles
 from tests.helpers import day, rows
 
 
@@ -22,18 +23,55 @@ def test_describe_equals_pandas(spark):
         assert np.allclose(got, e.to_numpy(), rtol=1e-12)
 
 
-@pytest.mark.parametrize("chunk_rows", [1_000_000, 40])
-def test_percentiles_of_few_rows_and_of_a_dominant_value(spark, chunk_rows):
+@pytest.mark.parametrize("keep", [1_000_000, 40, 1])
+def test_percentiles_of_few_rows_and_of_a_dominant_value(spark, keep):
     df = spark.createDataFrame([(1.0, 7.0, None), (4.0, None, None)], "a double, b double, e double")
-    got = {(r["column"], r["probability"]): r["value"] for r in percentiles_of_counts(value_counts(df, ["a", "b", "e"]), ["a", "b", "e"], [0.25, 0.5, 1.0], chunk_rows).collect()}
+    got = {(r["column"], r["probability"]): r["value"] for r in exact_percentiles(df, ["a", "b", "e"], [0.25, 0.5, 1.0], keep).collect()}
     assert got == {("a", 0.25): 1.75, ("a", 0.5): 2.5, ("a", 1.0): 4.0, ("b", 0.25): 7.0, ("b", 0.5): 7.0, ("b", 1.0): 7.0,
                    ("e", 0.25): None, ("e", 0.5): None, ("e", 1.0): None}
     hot = spark.range(9_000).select(F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise(F.col("id").cast("double")).alias("x"))
     values = np.array([0.5 if i % 3 == 0 else float(i) for i in range(9_000)])
-    for r in percentiles_of_counts(value_counts(hot, ["x"]), ["x"], [0.1, 0.25, 0.34, 0.9], chunk_rows).collect():
+    for r in exact_percentiles(hot, ["x"], [0.1, 0.25, 0.34, 0.9], keep).collect():
         assert r["value"] == pytest.approx(np.quantile(values, r["probability"]), rel=1e-12)
 
 
+@pytest.mark.parametrize("keep", [1_000_000, 300])
+def test_percentiles_of_a_million_skewed_values_in_several_columns(spark, keep):
+    x = F.xxhash64("id") % 1_000_000 / 1e6
+    df = spark.range(1_000_000).select(
+        F.exp(20 * x).alias("wide"), F.round(x * 3).alias("few"), F.when(F.col("id") % 7 == 0, F.lit(float("nan"))).when(F.col("id") % 5 > 0, x).alias("gaps"))
+    pdf = df.toPandas()
+    probabilities = [0.0, 0.001, 0.25, 0.5, 0.7501, 0.999, 1.0]
+    for r in exact_percentiles(df, ["wide", "few", "gaps"], probabilities, keep).collect():
+        assert r["value"] == pytest.approx(np.quantile(pdf[r["column"]].dropna().to_numpy(), r["probability"]), rel=1e-12)
+
+
+def test_wrong_brackets_are_mended_by_the_counts(spark, monkeypatch):
+    """Whatever the sketch's quantiles, the counts decide: first brackets on the wrong side, too narrow, or the whole range."""
+    df = spark.range(5_000).select((F.col("id") % 1_777).cast("double").alias("x"))
+    values = np.arange(5_000) % 1_777
+    right = pct._bracket
+    for low, high, keep in ((0, 0, 1_000_000), (pct.STEPS, pct.STEPS, 20), (0, pct.STEPS, 20), (3, 4, 1_000_000)):
+        calls = []
+
+        def wrong(found, rank, a=low, b=high, calls=calls):
+            calls.append(rank)
+            return right(found, rank) if len(calls) > 3 else (found.quantiles[a], found.quantiles[b])
+
+        monkeypatch.setattr(pct, "_bracket", wrong)
+        for r in exact_percentiles(df, ["x"], [0.1, 0.5, 0.99], keep).collect():
+            assert r["value"] == pytest.approx(np.quantile(values, r["probability"]), rel=1e-12)
+
+
+def test_only_values_inside_brackets_are_shuffled(spark):
+    df = spark.range(300_000).select((F.xxhash64("id") % 10**12).cast("double").alias("x"))
+    found, _ = pct.look(df, [pct.Interval("x")])
+    found = found[pct.Interval("x")]
+    low, high = pct._bracket(found, 150_000)
+    parts = pct.count_inside(df, {"x": [(low, high)]}, 10**6)
+    assert len(parts["x", 0]) == len(parts["x", 2]) == 1 and 0 < len(parts["x", 1]) < 0.01 * 300_000
+
+
 def test_describe_of_dates_and_of_text(spark):
     df = spark.createDataFrame([(day("2024-01-01"), "b"), (day("2024-01-03"), "a"), (None, None), (day("2024-01-05"), "b")], "d date, t string")
     r = prf.describe_dates(df).first()
