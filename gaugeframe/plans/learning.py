@@ -10,8 +10,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeframe.learning import backtest as bt
 from gaugeframe.learning import forecast as fc
 from gaugeframe.learning import models as ml
+from gaugeframe.learning import price_trees as pt
 from gaugeframe.learning import pricing as po
 from gaugeframe.operators import timeseries as tser
 from gaugeframe.plans.registry import add, rounded
@@ -294,6 +296,51 @@ add(
 )
 
 
+_TREE_BINS, _TREE_DEPTH, _TREE_ROWS = 32, 3, 5
+
+
+def _tree_curves_sql() -> str:
+    """One regression tree per product on price bins: a level per pair of tables, windows over the bins of a node."""
+    parts = [f"""k AS (SELECT sku, list_price AS p, profit AS y FROM sales WHERE sku IS NOT NULL AND list_price IS NOT NULL AND profit IS NOT NULL),
+        b AS (SELECT sku, MIN(p) AS lo, MAX(p) AS hi FROM k GROUP BY 1),
+        s AS (SELECT k.sku, LEAST(CAST(FLOOR((p - lo) / (hi - lo) * {_TREE_BINS}) AS INTEGER), {_TREE_BINS - 1}) AS bin, COUNT(*) AS n, SUM(y) AS t FROM k JOIN b ON b.sku = k.sku GROUP BY 1, 2),
+        t0 AS (SELECT b.sku, CAST(i AS INTEGER) AS bin, COALESCE(n, 0) AS n, COALESCE(t, 0) AS t, 0 AS node FROM b CROSS JOIN range({_TREE_BINS}) AS r(i) LEFT JOIN s ON s.sku = b.sku AND s.bin = i)"""]
+    for i in range(_TREE_DEPTH):
+        parts.append(f"""w{i} AS (SELECT *, SUM(n) OVER u AS ln, SUM(t) OVER u AS lt, SUM(n) OVER v AS an, SUM(t) OVER v AS st FROM t{i}
+                WINDOW u AS (PARTITION BY sku, node ORDER BY bin ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY sku, node)),
+            g{i} AS (SELECT *, CASE WHEN n > 0 AND ln >= {_TREE_ROWS} AND an - ln >= {_TREE_ROWS} THEN lt * lt / ln + (st - lt) * (st - lt) / (an - ln) - st * st / an END AS gain FROM w{i}),
+            h{i} AS (SELECT sku, node, bin AS at_bin FROM g{i} WHERE gain > 1e-9 * st * st / an QUALIFY ROW_NUMBER() OVER (PARTITION BY sku, node ORDER BY gain DESC, bin) = 1),
+            t{i + 1} AS (SELECT g.sku, g.bin, g.n, g.t, 2 * g.node + CASE WHEN g.bin > h.at_bin THEN 1 ELSE 0 END AS node FROM g{i} g LEFT JOIN h{i} h ON h.sku = g.sku AND h.node = g.node)""")
+    parts.append(f"""v AS (SELECT sku, bin, SUM(t) OVER (PARTITION BY sku, node) / SUM(n) OVER (PARTITION BY sku, node) AS value FROM t{_TREE_DEPTH}),
+        c AS (SELECT sku, lo, hi, CAST(i AS INTEGER) AS point, CASE WHEN i = 199 THEN hi ELSE lo + i * ((hi - lo) / 199) END AS p FROM b CROSS JOIN range(200) AS r(i)),
+        curve AS (SELECT c.sku, point, p AS list_price, value AS pred_profit FROM c JOIN v ON v.sku = c.sku AND v.bin = LEAST(CAST(FLOOR((p - lo) / (hi - lo) * {_TREE_BINS}) AS INTEGER), {_TREE_BINS - 1}))""")
+    return ", ".join(parts)
+
+
+#: Means of a few rows often lie on a tie of the rounding, where the order of summation decides; this moves them off it.
+_OFF_TIES = 2e-7
+
+
+def _tree_curves(df: DataFrame) -> DataFrame:
+    return pt.tree_curves(df, "sku", "list_price", "profit", _TREE_BINS, _TREE_DEPTH, _TREE_ROWS)
+
+
+add(
+    "po_02_tree_curves_of_all_products", "sales", lambda df: rounded(_tree_curves(df).withColumn("pred_profit", F.col("pred_profit") + _OFF_TIES)),
+    f"WITH {_tree_curves_sql()} SELECT sku, point, ROUND(list_price, 6) AS list_price, ROUND(pred_profit + {_OFF_TIES}, 6) AS pred_profit FROM curve",
+)
+add(
+    "po_02_tree_best_prices", "sales", lambda df: rounded(po.best_price(_tree_curves(df), "list_price", "pred_profit", ["sku"]).withColumn("optimal_profit", F.col("optimal_profit") + _OFF_TIES)),
+    f"""WITH {_tree_curves_sql()} SELECT sku, ROUND(list_price, 6) AS optimal_price, ROUND(pred_profit + {_OFF_TIES}, 6) AS optimal_profit FROM curve
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY sku ORDER BY ROUND(pred_profit, 6) DESC, point) = 1""",
+)
+add(
+    "po_01_forest_curves_of_all_products", "sales",
+    lambda df: rounded(pt.tree_curves(tser.resample_many(df, "order_date", "M", {"list_price": "mean", "profit": "sum"}, ["sku"]), "sku", "list_price", "profit", trees=20, row_key=["sku", "ds"]).select("sku", "point", "list_price")),
+    f"WITH {_CURVES_SQL} SELECT sku, point, ROUND(list_price, 6) AS list_price FROM curve",
+)
+
+
 # Forecasts
 
 def _monthly(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -335,3 +382,44 @@ add(
     lambda df: _banded(fc.trend_season_forecast(_monthly(df, ["dealer"]), ["dealer"], mode="multiplicative", flexibility=0.1), "dealer"),
     f"WITH {_MONTHS_SQL.replace('sku', 'dealer')} {_SPAN_SQL.format(k='dealer')}",
 )
+
+
+# Backtests: the yardstick's figures are compared, a model's are set against them
+
+_CUTS_SQL = """m AS (SELECT dealer, LAST_DAY(order_date) AS ds, SUM(quantity) AS y FROM sales WHERE order_date IS NOT NULL AND dealer IS NOT NULL GROUP BY 1, 2),
+       k AS (SELECT *, LAG(y, 12) OVER w AS yhat, ROW_NUMBER() OVER (PARTITION BY dealer ORDER BY ds DESC) AS back, COUNT(*) OVER (PARTITION BY dealer) AS size FROM m WINDOW w AS (PARTITION BY dealer ORDER BY ds)),
+       c AS (SELECT dealer, CAST(o AS INTEGER) AS origin, CAST(13 + 3 * o - back AS INTEGER) AS step, ds, y, yhat FROM k CROSS JOIN range(4) AS r(o)
+             WHERE size - 12 - 3 * o >= 24 AND back > 3 * o AND back <= 12 + 3 * o)"""
+
+
+def _rounded_errors(forecasts: DataFrame, *by: str) -> DataFrame:
+    return rounded(bt.errors(forecasts, by), 4)
+
+
+add(
+    "fc_03_backtest_seasonal_naive", "sales", lambda df: _rounded_errors(bt.seasonal_naive(_monthly(df, ["dealer"]), ["dealer"]), "step"),
+    f"""WITH {_CUTS_SQL} SELECT step, COUNT(yhat) AS n, ROUND(AVG(ABS(yhat - y)), 4) AS MAE, ROUND(SQRT(AVG((yhat - y) * (yhat - y))), 4) AS RMSE, ROUND(AVG(yhat - y), 4) AS bias FROM c GROUP BY 1""",
+)
+
+
+def _against_naive(ts: DataFrame, forecasts: DataFrame, most: float) -> DataFrame:
+    """Yardstick's error per origin, and whether the model's mean error is at most ``most`` times as large."""
+    naive = bt.errors(bt.seasonal_naive(ts, ["dealer"]), ["origin"]).select("origin", "n", F.col("MAE").alias("naive_MAE"))
+    model = bt.errors(forecasts, ["origin"]).select("origin", F.col("MAE").alias("model_MAE"))
+    return rounded(naive.join(model, "origin").select("origin", "n", "naive_MAE", (F.col("model_MAE") <= most * F.col("naive_MAE")).alias("model_holds")), 4)
+
+
+def _backtest(df: DataFrame) -> DataFrame:
+    ts = _monthly(df, ["dealer"])
+    return _against_naive(ts, bt.trend_season(ts, ["dealer"]), 1.25)
+
+
+def _backtest_recursive(df: DataFrame) -> DataFrame:
+    ts = cut_lineage(_monthly(df, ["dealer"]))
+    model = fc.fit_lag_model(bt.training_part(ts, ["dealer"]), ["dealer"], "forest", trees=20)
+    return _against_naive(ts, bt.recursive(ts, model, ["dealer"]), 1.25)
+
+
+_NAIVE_SQL = f"WITH {_CUTS_SQL} SELECT origin, COUNT(yhat) AS n, ROUND(AVG(ABS(yhat - y)), 4) AS naive_MAE, TRUE AS model_holds FROM c GROUP BY 1"
+add("fc_03_backtest", "sales", _backtest, _NAIVE_SQL)
+add("fc_02_backtest", "sales", _backtest_recursive, _NAIVE_SQL)
