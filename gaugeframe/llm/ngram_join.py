@@ -2,12 +2,17 @@
 
 A text's set holds the hashes of its distinct word n-grams; two texts link when intersection / union >= num / den.
 
-1. Counts of all n-grams over all texts go into a table of fixed size (2**TABLE_BITS counters, shared by n-grams that
-   collide). It only orders n-grams, rare ones first, and marks frequent ones: any order the same for all texts finds all links.
-2. Texts with equal sets are one node, so copies cost one row each.
+1. Texts with equal sets are one node: of every text only its set's size and digest are written, and the steps below work on one text a
+   set, so copies cost one small row each.
+2. Counts of all n-grams over all texts go into a table (2**20 counters, up to 2**22 for a larger corpus, shared by n-grams that
+   collide). It only orders n-grams, rare ones first, and marks those of more than FREQUENT texts: any order the same for all texts finds
+   all links. A rare n-gram that shares a counter may count as frequent, never the other way round.
 3. Of a set of n n-grams a link may miss at most n - ceil(t n). The prefix of rare n-grams is extended until its
    signatures survive that many misses: a rare n-gram is a signature alone, frequent ones are combined in pairs within
    their subclass (the first of a subclass gives no pair, so it lengthens the prefix by one). Two linked sets share a signature.
+   There are as many subclasses as the set's size has sixteens, to a power of two, so a subclass has a few members and the number
+   of pairs grows with the text, not with its square. Sizes of linked sets may lie on either side of such a power: a set also has the
+   signatures of the next one where a set that links with it may be so large. A set that can link with equal ones only has no signatures.
 4. Nodes with a common signature are compared with one of them: first by parities (the bits in which they differ number
    at most the n-grams that only one set has, so pairs with too many cannot link), then on the whole sets. Where nodes of a
    signature are then still in several components, the pairs across components are verified as well, but for those that have
@@ -18,8 +23,10 @@ A text's set holds the hashes of its distinct word n-grams; two texts link when
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +36,11 @@ from pyspark.sql import functions as F
 from gaugeframe.llm import words as W
 from gaugeframe.llm.common import Scratch, components, lists, one_table, sent
 
-TABLE_BITS = 20
-SUBCLASSES = 8
+TABLE_BITS = 20, 22
+#: Sets of up to so many n-grams have single signatures only; larger ones have a subclass for each MEMBERS n-grams, to a power of two.
+SMALL, MEMBERS = 16, 16
 PARITY_WORDS = 8
+#: An n-gram alone is a signature of at most so many texts.
 FREQUENT = 512
 _FIRST, _SECOND = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -57,18 +66,28 @@ def sets(texts: pa.Array, size: int, lowercase: bool) -> tuple[np.ndarray, np.nd
     return np.concatenate(found) if found else grams, np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
 
 
-def count_table(df: DataFrame, text: str, size: int, lowercase: bool) -> np.ndarray:
+def count_table(df: DataFrame, text: str, size: int, lowercase: bool, bits: int) -> np.ndarray:
     """Counts of all n-grams by the leading bits of their hash. Beyond 2**31 a counter wraps: it only orders."""
 
     def count(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> None:
         for batch in W.pieces(batches, text):
             grams, _ = sets(batch.column(text), size, lowercase)
-            table += np.bincount((grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(table)).astype(np.int32)
+            table += np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=len(table)).astype(np.int32)
 
-    return one_table(df.select(F.col(f"`{text}`")), count, 1 << TABLE_BITS, np.int32, np.add)
+    return one_table(df.select(F.col(f"`{text}`")), count, 1 << bits, np.int32, np.add)
 
 
-def signatures(grams: np.ndarray, counts: np.ndarray, frequent: float, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def levels(n: int, num: int, den: int) -> list[int]:
+    """Logarithms of the numbers of subclasses under which a set of n n-grams has signatures: that of its own size, up to that of the
+    largest set it can link with. Two linked sets have that of the larger one in common."""
+
+    def level(size: int) -> int:
+        return max(size // MEMBERS, 1).bit_length() - 1
+
+    return list(range(level(n), level(n * den // num) + 1))
+
+
+def signatures(grams: np.ndarray, counts: np.ndarray, frequent: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of one set, and how many n-grams before each are certainly not common: two sets that link and differ have
     a signature in common for which that holds in both.
 
@@ -76,58 +95,100 @@ def signatures(grams: np.ndarray, counts: np.ndarray, frequent: float, num: int,
     one is frequent, all are. Take then the first to be the second of its subclass: before it at most one of each subclass is
     common, and no rare one."""
     n = len(grams)
+    if n * den < num * (n + 1):  # not even a set with one n-gram more links
+        return grams[:0], np.zeros(0, np.int64)
     need = n - -(-num * n // den) + 1
     order = np.lexsort((grams, counts))
     grams, often = grams[order], counts[order] > frequent
-    small = SUBCLASSES * den // num
-    if n <= small or not often[:need].any():
-        return grams[:need], np.arange(min(n, need))
-    subclass = (grams % np.uint64(SUBCLASSES)).astype(np.int64)
-    gain = np.ones(n, np.int64)
-    for j in range(SUBCLASSES):
-        members = np.flatnonzero(often & (subclass == j))
-        gain[members[:1]] = 0
-    end = int(np.searchsorted(np.cumsum(gain), need)) + 1
-    grams_, often_, subclass_ = grams[:end], often[:end], subclass[:end]
-    out, before = [grams_[~often_]], [np.flatnonzero(~often_)]
-    rare = np.cumsum(~often_)
-    for j in range(SUBCLASSES):
-        at = np.flatnonzero(often_ & (subclass_ == j))
-        a, b = np.triu_indices(len(at), 1)
-        a, b = at[a], at[b]
-        out.append(W.mix(W.mix(grams_[a]) + grams_[b]))
-        before.append(rare[b] + np.maximum(b - rare[b] - SUBCLASSES, 0))
-    if n <= small * den // num:  # may link with a small set, which has single signatures only
-        single = np.flatnonzero(often[:need])
-        out.append(grams[single])
-        before.append(single)
+    single = np.arange(need)
+    if n <= SMALL:
+        return grams[single], single
+    rare = np.flatnonzero(~often[:need])
+    out, before = [grams[rare]], [rare]
+    if len(rare) < need:
+        for level in levels(n, num, den):
+            more, ahead = _pairs(grams, often, need, level)
+            out.append(more)
+            before.append(ahead)
+        # may link with a small set, which has single signatures only
+        if num * n <= SMALL * den:
+            some = np.flatnonzero(often[:need])
+            out.append(grams[some])
+            before.append(some)
     return np.concatenate(out), np.concatenate(before)
 
 
-def _described(df: DataFrame, key: str, text: str, size: int, lowercase: bool, num: int, den: int) -> DataFrame:
-    """(id, n, h1, h2, parity, signatures, before) of every row."""
-    table = count_table(df, text, size, lowercase)
-    frequent = max(FREQUENT, 4 * float(table.mean()))
-    shared = df.sparkSession.sparkContext.broadcast(table)
+def _pairs(grams: np.ndarray, often: np.ndarray, need: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of frequent n-grams of one of 2**level subclasses within the prefix that is long enough."""
+    subclass = np.where(often, (grams % np.uint64(1 << level)).astype(np.int64), -1)
+    gain = np.ones(len(grams), np.int64)
+    members, first = np.unique(subclass, return_index=True)
+    gain[first[members >= 0]] = 0
+    end = int(np.searchsorted(np.cumsum(gain), need)) + 1
+    rare = np.cumsum(~often[:end])
+    at = np.flatnonzero(often[:end])
+    at = at[np.argsort(subclass[at], kind="stable")]  # by subclass, then by place
+    _, sizes = np.unique(subclass[at], return_counts=True)
+    earlier = W.within(sizes)  # members of the subclass before each
+    b = np.repeat(at, earlier)
+    a = at[np.repeat(np.arange(len(at)) - earlier, earlier) + W.within(earlier)]
+    return W.mix(W.mix(grams[a]) + grams[b] + np.uint64(level)), rare[b] + np.maximum(b - rare[b] - (1 << level), 0)
+
+
+def _digests(grams: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """Two 64-bit digests of each set, the same whatever it is worked on with."""
+    total = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(grams ^ c), dtype=np.uint64)]) for c in (_FIRST, _SECOND)]
+    return [pa.array((t[at[1:]] - t[at[:-1]]).view(np.int64)) for t in total]
+
+
+def _trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives memory that it no longer uses back to the system: workers are used again by later stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
+def _described(df: DataFrame, key: str, text: str, size: int, lowercase: bool) -> DataFrame:
+    """(id, n, h1, h2) of every row."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.pieces(batches, text):
             grams, at = sets(batch.column(text), size, lowercase)
-            counts = shared.value[(grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-            total = [np.concatenate([[0], np.cumsum(W.mix(grams ^ c), dtype=np.uint64)]).astype(np.uint64) for c in (_FIRST, _SECOND)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.diff(at)), *_digests(grams, at)], ["id", "n", "h1", "h2"])
+
+    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(_trimmed(run), f"id {kind}, n long, h1 long, h2 long")
+
+
+def _signed(rows: DataFrame, table: np.ndarray, size: int, lowercase: bool, num: int, den: int) -> DataFrame:
+    """(id, n, h1, h2, parity, signatures, before) of rows (id, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+    bits, frequent = len(table).bit_length() - 1, FREQUENT
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.pieces(batches, "text"):
+            grams, at = sets(batch.column("text"), size, lowercase)
+            counts = shared.value[(grams >> np.uint64(64 - bits)).astype(np.int64)]
             own = [signatures(grams[a:b], counts[a:b], frequent, num, den) for a, b in zip(at[:-1], at[1:])]
             ends = np.concatenate([[0], np.cumsum([len(x) for x, _ in own])])
             # bit i of a text's parity tells whether an odd number of its n-grams hash to i
-            bits = (grams % np.uint64(64 * PARITY_WORDS)).astype(np.int64) + np.repeat(np.arange(batch.num_rows), np.diff(at)) * (64 * PARITY_WORDS)
-            odd = (np.bincount(bits, minlength=batch.num_rows * 64 * PARITY_WORDS) & 1).astype(np.uint8)
+            hit = (grams % np.uint64(64 * PARITY_WORDS)).astype(np.int64) + np.repeat(np.arange(batch.num_rows), np.diff(at)) * (64 * PARITY_WORDS)
+            odd = (np.bincount(hit, minlength=batch.num_rows * 64 * PARITY_WORDS) & 1).astype(np.uint8)
             parity = np.packbits(odd, bitorder="little").view("<i8")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.array(np.diff(at)), *(pa.array((t[at[1:]] - t[at[:-1]]).view(np.int64)) for t in total),
-                 lists(parity, np.arange(batch.num_rows + 1) * PARITY_WORDS, pa.int64()), lists(np.concatenate([x for x, _ in own]).view(np.int64), ends, pa.int64()), lists(np.concatenate([x for _, x in own]), ends, pa.int32())],
+                [batch.column("id"), pa.array(np.diff(at)), *_digests(grams, at), lists(parity, np.arange(batch.num_rows + 1) * PARITY_WORDS, pa.int64()),
+                 lists(np.concatenate([x for x, _ in own]).view(np.int64), ends, pa.int64()), lists(np.concatenate([x for _, x in own]), ends, pa.int32())],
                 ["id", "n", "h1", "h2", "parity", "signatures", "before"])
 
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"id {kind}, n long, h1 long, h2 long, parity array<long>, signatures array<long>, before array<int>")
+    return rows.mapInArrow(_trimmed(run), f"id {kind}, n long, h1 long, h2 long, parity array<long>, signatures array<long>, before array<int>")
 
 
 def _sets_of(df: DataFrame, ids: DataFrame, scratch: Scratch, key: str, text: str, size: int, lowercase: bool) -> DataFrame:
@@ -141,7 +202,7 @@ def _sets_of(df: DataFrame, ids: DataFrame, scratch: Scratch, key: str, text: st
             yield pa.RecordBatch.from_arrays([batch.column("id"), lists(grams.view(np.int64), at, pa.int64())], ["id", "grams"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return scratch.written(chosen.mapInArrow(run, f"id {kind}, grams array<long>"), "grams")
+    return scratch.written(chosen.mapInArrow(_trimmed(run), f"id {kind}, grams array<long>"), "grams")
 
 
 def _reachable(n: str, before: str, m: str, ahead: str, num: int, den: int) -> F.Column:
@@ -178,14 +239,18 @@ def linked_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     in links and get a null component. Repeated rows give repeated results. Other columns are not read.
     """
     scratch, how = Scratch(df.sparkSession), (key, text, size, lowercase)
-    docs = scratch.written(_described(df, key, text, size, lowercase, num, den), "signatures")
+    docs = scratch.written(_described(df, *how), "sets")
     some = docs.where("n > 0 and id is not null")
     reps = scratch.written(some.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "reps")
     members = scratch.written(docs.select("id", "n", "h1", "h2").join(reps, ["n", "h1", "h2"], "left").select("id", "n", "rep"), "members")
-    chosen = reps.select("n", "h1", "h2", F.col("rep").alias("id")).distinct()
+    grams = docs.agg(F.sum("n")).first()[0] or 0
+    table = count_table(df, text, size, lowercase, min(max(int(grams // 64).bit_length(), TABLE_BITS[0]), TABLE_BITS[1]))
+    chosen = reps.select("n", "h1", "h2", F.col("rep").alias("id"))
+    texts = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).join(sent(chosen.select("id").distinct()), "id", "left_semi")
     # a node is a rep with its own set: ids of repeated rows with other texts are told apart by the set
-    own = some.join(sent(chosen), ["id", "n", "h1", "h2"], "left_semi").withColumnRenamed("id", "rep")
-    nodes = scratch.written(own.select("rep", "n", "parity"), "nodes")
+    signed = _signed(texts, table, size, lowercase, num, den).join(sent(chosen), ["id", "n", "h1", "h2"], "left_semi")
+    own = scratch.written(signed.withColumnRenamed("id", "rep"), "signatures")
+    nodes = own.select("rep", "n", "parity")
     each = F.explode(F.arrays_zip("signatures", "before")).alias("s")
     rows = own.select("rep", "n", each).select(F.col("s.signatures").alias("sig"), "rep", F.col("n").cast("int").alias("n"), F.col("s.before").alias("before"))
     often = rows.groupBy("sig").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("sig")
@@ -214,5 +279,5 @@ def linked_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     named = members.where("rep is not null").select("id", "rep").distinct().join(last, "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     result = members.join(named, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     result = scratch.written(result, "groups")
-    scratch.drop(nodes, open_, links, more, members)
+    scratch.drop(own, open_, links, more, members)
     return result

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from gaugeframe.llm import mixing, ngram_join, phrase_dedup, pii, secret_scan
@@ -63,6 +64,42 @@ def test_linked_groups(spark, monkeypatch, size, num, frequent):
     assert sorted(map(tuple, got)) == [(i, len(own[i]), top(i)) for i in own]
 
 
+def test_signatures_grow_with_the_text_not_with_its_square():
+    """Also where every n-gram is frequent; sets that link with equal ones only have none."""
+    rng = np.random.default_rng(4)
+    for num, most in ((80, 1.0), (90, 0.5)):
+        for n in (40, 350, 5_000, 40_000):
+            grams = np.unique(rng.integers(1, 2**63, n, dtype=np.uint64))
+            for often in (np.full(len(grams), 9, np.int32), (grams % np.uint64(2)).astype(np.int32) * 9):
+                found, before = ngram_join.signatures(grams, often, 2, num, 100)
+                assert len(found) == len(before) <= most * n + 20
+    assert len(ngram_join.signatures(np.arange(8, dtype=np.uint64), np.zeros(8, np.int32), 2, 90, 100)[0]) == 0
+    assert len(ngram_join.signatures(np.arange(9, dtype=np.uint64), np.zeros(9, np.int32), 2, 90, 100)[0]) == 1
+
+
+def test_digests_of_equal_sets_are_equal_wherever_they_stand():
+    rng = np.random.default_rng(6)
+    one, other = (rng.integers(1, 2**64, n, dtype=np.uint64) for n in (400, 900))
+    alone = ngram_join._digests(one, np.array([0, 400]))
+    behind = ngram_join._digests(np.concatenate([other, one]), np.array([0, 900, 1300]))
+    assert [x.to_pylist()[0] for x in alone] == [x.to_pylist()[1] for x in behind]
+
+
+def test_linked_sets_on_either_side_of_a_level_meet():
+    """Sizes around powers of two times sixteen, all n-grams frequent: the larger one's subclasses are among the smaller one's."""
+    rng = np.random.default_rng(5)
+    for edge in (16, 32, 64, 128):
+        for _ in range(60):
+            m = int(rng.integers(edge - 1, edge + 12))
+            base = np.unique(rng.integers(1, 2**63, m, dtype=np.uint64))
+            gone = int(0.2 * len(base))
+            other = np.sort(np.delete(base, rng.choice(len(base), gone, replace=False)))
+            if 100 * len(other) < 80 * len(base):
+                continue
+            one, two = (ngram_join.signatures(x, np.full(len(x), 9, np.int32), 2, 80, 100)[0] for x in (base, other))
+            assert set(one.tolist()) & set(two.tolist())
+
+
 def test_signatures_of_linked_sets_meet():
     """Whatever is counted as frequent, two sets at the threshold share a signature."""
     import numpy as np
