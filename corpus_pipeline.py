@@ -25,16 +25,25 @@ from gaugeframe.llm import mixing, ngram_join, quality, secret_scan, sentencepie
 from gaugeframe.llm.common import read, sent, unused, written
 from gaugeframe.llm.queries import piece_model
 
+#: Rows of a batch that goes to a Python worker: a text may be a hundred times as long as most, and both sides hold a whole batch.
+BATCH_ROWS = 512
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _in_small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _in_small_batches(spark)
     model = quality.train(docs, read(spark, sf_dir, "labels"))
     score = unused(docs, "score")
     return quality.score(docs, model, column=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _in_small_batches(spark)
     groups = written(ngram_join.linked_groups(docs, size=5, num=80, den=100), "groups")
     gone = groups.where("n_shingles > 0 and component_id < doc_id").select("doc_id").distinct()
     left = docs.join(sent(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -47,6 +56,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _in_small_batches(spark)
     clean = secret_scan.redact(docs)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
@@ -54,14 +64,20 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs).select(F.struct("doc_id").alias("id"), F.when(F.col("size") == 0, F.greatest("copies", F.lit(1))).otherwise(F.col("copies")).alias("copies"))
-    times = mixed.where("copies > 0").groupBy("id").agg(F.max("copies").cast("int").alias("copies"))
-    number = unused(docs, "number")
-    rows = docs.join(sent(times), F.struct("doc_id") == F.col("id"))  # a struct is never null, so a null id joins as well
-    return rows.select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), times["copies"])).alias(number)).drop(number)
+    """Rows are told apart by id, source and number of words, so rows that share an id don't take each other's copies."""
+    _in_small_batches(spark)
+    copies = F.when(F.col("size") == 0, F.greatest("copies", F.lit(1))).otherwise(F.col("copies"))
+    mixed = mixing.mix(docs).select(F.struct("doc_id", "source", "size").alias("row"), copies.alias("copies"))
+    times = mixed.where("copies > 0").groupBy("row").agg(F.max("copies").cast("int").alias("copies"))
+    size, number = unused(docs, "size"), unused(docs, "number")
+    sized = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
+    # a struct is never null, so null ids and sources join as well
+    rows = sized.join(sent(times), F.struct("doc_id", "source", size) == F.col("row"))
+    return rows.select(*[sized[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), times["copies"])).alias(number)).drop(number)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _in_small_batches(spark)
     return sentencepiece.round_trip(docs, piece_model(), with_ids=True)
 
 

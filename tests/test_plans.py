@@ -22,7 +22,7 @@ EAGER = {
     "ml_01_feature_vector", "ml_03_linear_baseline", "ml_03_linear_per_product", "ml_06_error_figures", "ml_04_forest", "ml_05_boosted_trees", "ml_07_model_comparison",
     "top_06_models_by_rmse", "ml_08_scored_table", "ml_09_saved_models_compared", "ml_10_saved_and_found", "ml_11_feature_importance", "po_01_curve_by_period",
     "po_01_curve_boosted", "po_01_best_by_year", "po_02_curve_by_row", "po_03_reference_points", "fc_02_recursive_forecast", "fc_02_recursive_boosted",
-    "fc_03_trend_season_forecast", "fc_03_multiplicative_per_dealer",
+    "fc_03_trend_season_forecast", "fc_03_multiplicative_per_dealer", "fc_03_backtest", "fc_02_backtest",
 }
 
 
