@@ -89,20 +89,44 @@ def prefix_tree(df: DataFrame, conversation: str = "conv_id", turn: str = "turn"
 
 
 def depth_first(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """The nodes in the order in which a depth-first walk emits them, with the intervals their segment attends to.
+    """The nodes in the order in which a depth-first walk emits them, each with ``attends``: the intervals of its ancestors and of its
+    own segment up to itself, as (segment, idx_from, idx_to, position_from, position_to).
 
-    A walk follows a segment to its end, then visits what branches off, from the deepest branch up.
+    A walk follows a segment to its end, then visits what branches off, from the deepest branch up. Equal conversations and those
+    that end within another one have no nodes of their own; their ends are in :func:`ends`. A null role or text is an empty one
+    by then, a very long text is one row, and empty tables give an empty one.
     """
-    steps = F.sort_array(F.collect_list(F.struct("depth", "idx_from", "segment", "position_from", "position_to")))
+    steps = F.sort_array(F.collect_list(F.struct("depth", "idx_from", "segment", "idx_to", "position_from", "position_to")))
     routes = paths.groupBy("conv").agg(steps.alias("steps"), F.max(F.struct("depth", "segment"))["segment"].alias("last")).where("conv = last")
     key = F.transform("steps", lambda s: F.struct((-s["idx_from"]).alias("up"), s["segment"].alias("segment")))
-    attends = F.transform("steps", lambda s: F.struct(s["segment"], s["position_from"], s["position_to"]))
-    routes = routes.select(F.col("conv").alias("segment"), key.alias("route"), attends.alias("attends"))
-    return nodes.join(routes, "segment").orderBy(F.col("route")[0]["segment"], "route", "idx")
+    before = F.transform(F.slice("steps", 1, F.size("steps") - 1), lambda s: F.struct(s["segment"], s["idx_from"], s["idx_to"], s["position_from"], s["position_to"]))
+    own = F.element_at("steps", -1)
+    routes = routes.select(F.col("conv").alias("segment"), key.alias("route"), before.alias("before"), own["idx_from"].alias("first"), own["position_from"].alias("start"))
+    here = F.struct("segment", F.col("first").alias("idx_from"), F.col("idx").alias("idx_to"), F.col("start").alias("position_from"), "position_to")
+    emitted = nodes.join(routes, "segment").withColumn("attends", F.concat("before", F.array(here))).drop("before", "first", "start")
+    return emitted.orderBy(F.col("route")[0]["segment"], "route", "idx")
+
+
+def ends(paths: DataFrame) -> DataFrame:
+    """(conv, segment, idx): the node with which each conversation ends."""
+    last = F.max(F.struct("depth", "segment", "idx_to")).alias("last")
+    return paths.groupBy("conv").agg(last).select("conv", F.col("last.segment").alias("segment"), F.col("last.idx_to").alias("idx"))
+
+
+def attended(emitted: DataFrame, last: DataFrame) -> DataFrame:
+    """(conv, segment, idx_from, idx_to): the turns of each conversation, as the intervals that its last node attends to.
+
+    ``emitted`` is the result of :func:`depth_first`, ``last`` that of :func:`ends`.
+    """
+    found = last.join(emitted.select("segment", "idx", "attends"), ["segment", "idx"])
+    return found.select("conv", F.explode("attends").alias("a")).select("conv", "a.segment", "a.idx_from", "a.idx_to")
 
 
 def read_back(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """Per conversation, from the emitted nodes: number of turns, digests of the turns and of the text under the loss mask."""
+    """Per conversation, from the emitted nodes: number of turns, digests of the turns and of the text under the loss mask.
+
+    ``paths`` is that of the tree or :func:`attended`. Turns pass in order, one at a time; empty tables give an empty result.
+    """
     wanted = paths.select("conv", "segment", F.explode(F.sequence("idx_from", "idx_to")).alias("idx"))
     text = wanted.join(nodes.select("segment", "idx", "formatted", "loss_from", "loss_to"), ["segment", "idx"])
     ordered = text.select("conv", "idx", "formatted", "loss_from", "loss_to").repartition("conv").sortWithinPartitions("conv", "idx")

@@ -81,7 +81,9 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(*chat.prefix_tree(table.unionByName(extra)))
+    nodes, paths = chat.prefix_tree(table.unionByName(extra))
+    emitted = written(chat.depth_first(nodes, paths), "emitted")
+    return chat.read_back(emitted, chat.attended(emitted, chat.ends(paths)))
 
 
 CHECKS["op9_chat"] = r"""

@@ -135,6 +135,20 @@ def test_shared_turns_are_emitted_once_depth_first(spark):
     assert len(roots) == len(set(roots))  # one tree after another
 
 
+def test_conversations_are_read_back_from_the_emission(spark):
+    """The emitted nodes and the ends alone give the same turns as the tree's own paths; equal conversations share all their nodes."""
+    rows = [*conversations(), *((1000 + c, t, "user", f"turn {t}") for c in range(30) for t in range(1 + c % 5))]
+    nodes, paths = chat.prefix_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    emitted = chat.depth_first(nodes, paths)
+    for r in emitted.collect():
+        assert r.attends[-1].segment == r.segment and (r.attends[-1].idx_to, r.attends[-1].position_to) == (r.idx, r.position_to)
+        assert r.attends[0].idx_from == 0 and all(a.idx_to + 1 == b.idx_from for a, b in zip(r.attends, r.attends[1:]))
+    got = chat.read_back(emitted, chat.attended(emitted, chat.ends(paths))).collect()
+    assert len(got) == len(grouped(rows)) and sorted(got) == sorted(chat.read_back(nodes, paths).collect())
+    empty = chat.depth_first(nodes.limit(0), paths.limit(0))
+    assert empty.collect() == [] and chat.attended(empty, chat.ends(paths.limit(0))).collect() == []
+
+
 def test_escapes_leave_no_control_string():
     rng = random.Random(4)
     for _ in range(3000):
