@@ -2,9 +2,12 @@
 
 Each source gets a token budget: shares by weight, at most ``epochs`` times its own size, the excess shared again by
 weight. It is filled with whole epochs first; for the rest, documents are ordered by the exponential key -ln(u) / w (u from
-a hash of the id, w the document's quality weight) and taken while their prefix sum is within the budget. Documents are
+a hash of id and content, w the document's quality weight) and taken while their prefix sum is within the budget. Documents are
 never cut: where the sum would pass the budget, later documents that still fit fill it up.
 
+Rows of one id with different content have different keys. Rows that agree in id, source and content are counted, and walk in
+blocks of at most ``BLOCK_ROWS``, each with a key of its own: no id, null or repeated, gathers in one bucket.
+
 The prefix sums run over key buckets first (one row per source and bucket; their number follows the rows of the source) and
 over documents only from the bucket in which the budget ends. From there on, documents no larger than what is left are
 streamed, some ``BUCKET_ROWS`` at a time, until none fits any more, so no task ever sorts a whole source, however large its
@@ -17,7 +20,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import words as W
@@ -26,26 +29,42 @@ from gaugeframe.llm.common import written
 #: Documents per key bucket, about, and documents that one round tries when it fills a budget up.
 BUCKET_ROWS = 10_000
 LEAST_WEIGHT = 0.05
+#: Rows that agree in all that is read walk together, at most so many.
+BLOCK_ROWS = 1_000
+
 
+def measured(df: DataFrame, key: str, text: str, source: str, weight: str | None = None, apart: Sequence[str] = ()) -> DataFrame:
+    """(id, source, size, weight, digest) of every row: number of words, quality weight, digest of the text and the columns ``apart``.
 
-def measured(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(id, source, size, weight) of every row: number of words, and the share of letters among all but white space."""
+    The weight is that of the column ``weight``, or the share of letters among all but white space; missing, NaN and smaller weights
+    count as ``LEAST_WEIGHT``.
+    """
     kind, source_kind = df.schema[key].dataType.simpleString(), df.schema[source].dataType.simpleString()
     letter, space = np.zeros(256, np.int64), np.zeros(256, np.int64)
     letter[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
     space[[0x20, *range(9, 14)]] = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.pieces(batches, text):
-            raw, at = W.flat(batch.column(text))
+        for batch in W.pieces(batches, "text"):
+            raw, at = W.flat(batch.column("text"))
             _, _, first = W.words(raw, at)
-            letters, spaces = (np.concatenate([[0], np.cumsum(x[raw])])[at] for x in (letter, space))
-            solid = np.diff(at) - np.diff(spaces)
-            weight = np.maximum(np.diff(letters) / np.maximum(solid, 1), LEAST_WEIGHT)
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(source), pa.array(np.diff(first)), pa.array(weight)], ["id", "source", "size", "weight"])
+            if weight is None:
+                letters, spaces = (np.concatenate([[0], np.cumsum(x[raw])])[at] for x in (letter, space))
+                solid = np.diff(at) - np.diff(spaces)
+                given = pa.array(np.maximum(np.diff(letters) / np.maximum(solid, 1), LEAST_WEIGHT))
+            else:
+                given = batch.column("weight")
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), pa.array(np.diff(first)), given, batch.column("digest")], ["id", "source", "size", "weight", "digest"])
+
+    share = F.lit(LEAST_WEIGHT) if weight is None else F.greatest(F.nanvl(F.coalesce(F.col(f"`{weight}`").cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(LEAST_WEIGHT))
+    rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"), share.alias("weight"), digest(text, apart).alias("digest"))
+    return rows.mapInArrow(run, f"id {kind}, source {source_kind}, size long, weight double, digest long")
+
 
-    rows = df.select(F.col(f"`{key}`"), F.col(f"`{source}`"), F.col(f"`{text}`"))
-    return rows.mapInArrow(run, f"id {kind}, source {source_kind}, size long, weight double")
+def digest(text: str, apart: Sequence[str]) -> Column:
+    """Hash of the text and further columns of a row; a null is told from a value."""
+    columns = [F.col(f"`{c}`") for c in dict.fromkeys([text, *apart])]
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], epochs: float) -> DataFrame:
@@ -70,18 +89,31 @@ def targets(sizes: DataFrame, weights: Sequence[float], epochs: float) -> DataFr
     return free.withColumn("level", first).select("source", "source_size", F.coalesce(F.col("level") * F.col("w"), cap).alias("target"))
 
 
-def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: float = 3, seed: int = 0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: float = 3, seed: int = 0, key: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None) -> DataFrame:
     """(key, size, source, source_size, target, taken, copies) of every row; ``taken`` = copies * size.
 
-    Null and empty texts have size 0 and are in whole epochs only. A null source is a source. Ties in the key go to the smaller
-    id, then size; rows that agree in both are alike. A rerun gives the same result, also on other partitions. Other columns
-    are not read.
+    ``weight`` names a column of quality weights, such as a classifier's scores; without it the share of letters is the weight.
+    Null and empty texts have size 0 and are in whole epochs only. A null source is a source, and a null id an id. Ties in the
+    key go to the smaller id, then size, then digest; of rows that agree in all that is read any may be the one taken once
+    more. A rerun gives the same result, also on other partitions. Very long texts are measured whole and are never cut; other
+    columns are not read, whatever their names; an empty table gives an empty result.
     """
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(2**52)) + 0.5) / F.lit(float(2**52))
-    docs = measured(df, key, text, source).withColumn("e", -F.log(uniform) / F.col("weight")).drop("weight")
-    docs = written(docs, "sizes")
+    found = decide(df, weights, epochs, seed, key, text, source, weight)
+    each = found.select("*", F.explode(F.sequence(F.lit(1), "n")).alias("number"))
+    copies = F.col("epochs") + (F.col("number") <= F.col("more")).cast("long")
+    return each.select(F.col("id").alias(key), "size", F.col("source").alias(source), "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def decide(df: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: float = 3, seed: int = 0, key: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None, apart: Sequence[str] = ()) -> DataFrame:
+    """(id, source, size, digest, n, source_size, target, epochs, more): ``n`` rows that agree in id, source and :func:`digest` (text and
+    columns ``apart``) are taken ``epochs`` times each, and ``more`` of them once more. ``n`` is at most ``BLOCK_ROWS``."""
+    block = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK_ROWS))
+    counted = measured(df, key, text, source, weight, apart).groupBy("id", "source", "size", "weight", "digest").agg(F.count("*").alias("n"))
+    blocks = counted.select("*", F.explode(block).alias("block")).withColumn("n", F.least(F.lit(BLOCK_ROWS).cast("long"), F.col("n") - F.col("block") * BLOCK_ROWS))
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), "id", F.col("id").isNull(), "digest", "block"), F.lit(2**52)) + 0.5) / F.lit(float(2**52))
+    docs = written(blocks.withColumn("e", -F.log(uniform) / F.col("weight")).drop("weight", "block"), "sizes")
     named = F.struct("source").alias("s")  # a struct is never null, so a null source joins as well
-    sources = written(docs.groupBy("source").agg(F.sum("size").alias("source_size"), (1 + F.floor(F.count("*") / BUCKET_ROWS)).alias("buckets")), "sources")
+    sources = written(docs.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), (1 + F.floor(F.sum("n") / BUCKET_ROWS)).alias("buckets")), "sources")
     plan = targets(sources.select("source", "source_size"), weights, epochs)
     plan = plan.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size") + F.lit(1e-12)), F.lit(0)))
     plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).select(named, "source_size", "target", "epochs", "rest")
@@ -90,7 +122,7 @@ def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: float = 3,
     rows = written(rows, "buckets")
 
     up_to = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("s", "b").agg(F.sum("size").alias("size"), F.first("rest").alias("rest"))
+    sums = rows.groupBy("s", "b").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.first("rest").alias("rest"))
     fills = sums.withColumn("before", F.coalesce(F.sum("size").over(up_to), F.lit(0)))
     ends = fills.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") >= F.col("rest")))
     ends = written(ends.select("s", F.col("b").alias("end"), (F.col("rest") - F.col("before")).alias("left")), "ends")
@@ -100,11 +132,10 @@ def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: float = 3,
     again = F.exists("tried", lambda t: (F.col("b") >= t["b_from"]) & (F.col("b") <= t["b_to"]) & (F.col("size") <= t["left"]))
     sure = sure.where((F.col("size") == 0) | F.col("tried").isNull() | ~again)
     more = F.when(F.col("end").isNull(), F.col("rest") >= F.col("source_size")).otherwise(F.col("b") < F.col("end"))
-    found = sure.withColumn("more", (F.col("size") > 0) & more)
+    found = sure.withColumn("more", F.when((F.col("size") > 0) & more, F.col("n")).otherwise(F.lit(0).cast("long")))
     for edge in edges:
         found = found.select(*edge.columns).unionByName(edge)
-    copies = F.col("epochs").cast("long") + F.col("more").cast("long")
-    return found.select(F.col("id").alias(key), "size", F.col("source").alias(source), "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return found.select("id", "source", "size", "digest", "n", "source_size", "target", F.col("epochs").cast("long").alias("epochs"), "more")
 
 
 def _filled_up(rows: DataFrame, ends: DataFrame) -> tuple[list[DataFrame], DataFrame]:
@@ -124,8 +155,8 @@ def _filled_up(rows: DataFrame, ends: DataFrame) -> tuple[list[DataFrame], DataF
         if ranges.isEmpty():
             return edges, written(tried, "tried")
         now = fit.join(ranges.select("s", "b_to"), "s").where("b <= b_to")
-        edges.append(written(_filled(now).select("id", "size", "source", "s", "source_size", "target", "epochs", "more"), "edge"))
-        used = edges[-1].where("more").groupBy("s").agg(F.sum("size").alias("used"))
+        edges.append(written(_filled(now).select("id", "size", "source", "digest", "n", "s", "source_size", "target", "epochs", "more"), "edge"))
+        used = edges[-1].groupBy("s").agg(F.sum(F.col("size") * F.col("more")).alias("used"))
         left = F.col("left") - F.coalesce("used", F.lit(0))
         state = written(ranges.join(used, "s", "left").select("s", (F.col("b_to") + 1).alias("b_from"), left.alias("left")), "left")
         this = ranges.select("s", F.array(F.struct("b_from", "b_to", "left")).alias("this"))
@@ -134,7 +165,7 @@ def _filled_up(rows: DataFrame, ends: DataFrame) -> tuple[list[DataFrame], DataF
 
 
 def _filled(edge: DataFrame) -> DataFrame:
-    """The rows with ``more``: whether the document is taken once more.
+    """The rows with ``more``: how many of the ``n`` documents that a row stands for are taken once more.
 
     In the order of the keys, each document that still fits into ``left`` is taken. One task streams the rows of a source in
     order and keeps the remaining budget only.
@@ -145,12 +176,12 @@ def _filled(edge: DataFrame) -> DataFrame:
         at, left = None, 0.0
         for batch in batches:
             more = []
-            for name, size, budget in zip(*(batch.column(c).to_pylist() for c in ("source", "size", "left"))):
+            for name, size, n, budget in zip(*(batch.column(c).to_pylist() for c in ("source", "size", "n", "left"))):
                 if at != (name,):
                     at, left = (name,), budget
-                more.append(size <= left)
-                left -= size if more[-1] else 0
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(more, pa.bool_())], [*names, "more"])
+                more.append(min(n, int(left // size)))
+                left -= size * more[-1]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(more, pa.int64())], [*names, "more"])
 
-    schema = edge.withColumn("more", F.lit(True)).schema
-    return edge.repartition("source").sortWithinPartitions("source", "e", "id", "size").mapInArrow(run, schema)
+    schema = edge.withColumn("more", F.lit(0).cast("long")).schema
+    return edge.repartition("source").sortWithinPartitions("source", "e", "id", "size", "digest").mapInArrow(run, schema)

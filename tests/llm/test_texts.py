@@ -363,3 +363,32 @@ def test_heavier_documents_are_taken_more_often(spark):
     got = mixing.mix(table(spark, docs, {i: "a" if i < 300 else "b" for i in range(400)}), weights=(1, 3)).collect()
     more = Counter(r.doc_id % 2 for r in got if r.source == "a" and r.copies == max(x.copies for x in got if x.source == "a"))
     assert more[1] > 2 * more[0]
+
+
+@pytest.mark.parametrize("same_text", [True, False])
+def test_rows_without_id_do_not_gather_in_a_bucket(spark, monkeypatch, same_text):
+    """Half of all ids are null: one task streams about a bucket's rows, and the budget is met nevertheless."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 100)
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 10)
+    streamed = []
+    filled = mixing._filled
+    monkeypatch.setattr(mixing, "_filled", lambda edge: streamed.append(edge.groupBy("s").agg({"n": "sum"}).first()[1]) or filled(edge))
+    docs = [(None if i % 2 else i, "same words" if same_text and i % 2 else f"w{i} word " * (1 + i % 3)) for i in range(4000)]
+    data = table(spark, docs, {i: "b" if i is None or i < 3000 else "a" for i, _ in docs})
+    got = mixing.mix(data, weights=(3, 1)).collect()
+    assert streamed and max(streamed) < 400
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len(words(t))) for i, t in docs)
+    for source in "ab":
+        mine = [r for r in got if r.source == source]
+        assert 0 <= mine[0].target - sum(r.taken for r in mine) < 7
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(data.repartition(3), weights=(3, 1)).collect()))
+
+
+def test_weights_of_a_column(spark):
+    """Of a source that is taken in part, rows of a high weight come before those without one; bad weights are the least."""
+    bad = [None, 0.0, -1.0, float("nan")]
+    rows = [(i, "word " * 10, "a" if i < 300 else "b", 1.0 if i % 2 else bad[i // 2 % 4], 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, score double, weight int")
+    got = [r for r in mixing.mix(docs, weights=(1, 3), weight="score").collect() if r.source == "a"]
+    more = Counter(r.doc_id % 2 for r in got if r.copies == max(x.copies for x in got))
+    assert len({r.copies for r in got}) == 2 and more[1] > 4 * more[0]
