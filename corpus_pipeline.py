@@ -64,16 +64,22 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are told apart by id, source and number of words, so rows that share an id don't take each other's copies."""
+    """Rows are told apart by all their columns, so rows that share an id don't take each other's copies; rows that agree in all
+    columns are one row with their copies together."""
     _in_small_batches(spark)
-    copies = F.when(F.col("size") == 0, F.greatest("copies", F.lit(1))).otherwise(F.col("copies"))
-    mixed = mixing.mix(docs).select(F.struct("doc_id", "source", "size").alias("row"), copies.alias("copies"))
-    times = mixed.where("copies > 0").groupBy("row").agg(F.max("copies").cast("int").alias("copies"))
-    size, number = unused(docs, "size"), unused(docs, "number")
-    sized = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
+    row, times, number = unused(docs, "row"), unused(docs, "times"), unused(docs, "number")
     # a struct is never null, so null ids and sources join as well
-    rows = sized.join(sent(times), F.struct("doc_id", "source", size) == F.col("row"))
-    return rows.select(*[sized[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), times["copies"])).alias(number)).drop(number)
+    name = F.struct(F.col("doc_id").alias("id"), "source", mixing.digest("text", docs.columns).alias("digest"))
+    found = mixing.decide(docs, apart=docs.columns)
+    epochs = F.when(F.col("size") == 0, F.greatest("epochs", F.lit(1))).otherwise(F.col("epochs"))
+    blocks = written(found.select(F.struct("id", "source", "digest").alias(row), "n", (F.col("n") * epochs + F.col("more")).cast("int").alias(times)), "copies")
+    named = docs.withColumn(row, name)
+    again = blocks.groupBy(row).agg(F.sum("n").alias("n")).where("n > 1").select(row)
+    if not again.isEmpty():
+        once = named.join(again, row, "left_semi").dropDuplicates()
+        named = named.join(again, row, "left_anti").unionByName(once)
+    kept = named.join(sent(blocks.where(F.col(times) > 0).select(row, times)), row)
+    return kept.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
