@@ -214,6 +214,37 @@ def test_joined_words_of_one_case_are_no_secrets():
         assert secret_scan.find(f"the {name} here") == []
 
 
+NAMES = "get set user account by id and timestamp create update item order customer service client request response handler factory config value key name map index query result error message event stream buffer reader session context token filter parser format number start last previous count average window partition column tree graph edge path folder audio frame pixel colour button panel model control state cache memory thread queue worker schedule signal channel socket network header footer length width depth weight speed".split()
+
+
+def ordinary(kind, rng):
+    """A name, path, date or version of 24 characters or more, as it stands in code and logs."""
+    words, day = [rng.choice(NAMES) for _ in range(12)], lambda: f"{rng.randrange(1990, 2030)}{rng.randrange(1, 13):02}{rng.randrange(1, 29):02}"
+    time = lambda: f"{rng.randrange(24):02}{rng.randrange(60):02}{rng.randrange(60):02}"
+    heads = [w.capitalize() for w in words]
+    numbered = [w + (str(rng.randrange(1, 100)) if rng.random() < 0.3 else "") for w in heads]
+    return {
+        "camel": words[0] + "".join(heads[1:6]), "pascal": "".join(heads[:6]), "numbered": words[0] + "".join(numbered[1:6]), "snake": "_".join(words[:6]),
+        "constant": "_".join(words[:6]).upper(), "kebab": "-".join(words[:6]), "joined": "".join(words[:6]), "path": "/" + "/".join(words[:3]) + "/" + "".join(heads[3:6]),
+        "dates": day() + day() + day(), "stamps": day() + time() + day() + time(), "backup": f"backup_{day()}T{time()}Z_v{rng.randrange(9)}-{words[0]}", "version": f"{words[0]}-{words[1]}-{rng.randrange(9)}-{rng.randrange(200)}-linux-x86_64",
+    }[kind]
+
+
+@pytest.mark.parametrize("kind", ["camel", "pascal", "numbered", "snake", "constant", "kebab", "joined", "path", "dates", "stamps", "backup", "version"])
+def test_ordinary_names_are_no_secrets(kind):
+    rng = random.Random(7)
+    assert sum(bool(secret_scan.find(f"see {ordinary(kind, rng)} here")) for _ in range(500)) <= 10
+
+
+def test_long_candidates_with_many_matches():
+    """Time follows the length: dates and base spans by the thousand in one run of characters and in one text."""
+    rng = random.Random(8)
+    key = "".join(rng.choice(LOWER + UPPER + DIGITS) for _ in range(40))
+    run = ("20240131_sample_" * 3 + key + "_") * 2_000
+    found = [s for s in secret_scan.find(run + " " + "0123456789abcdef0123456789abcdef " * 2_000) if s[0] == "entropy"]
+    assert len(found) >= 2_000 and all(b - a >= 24 for _, a, b in found)
+
+
 def test_keys_beside_allowed_words_are_found():
     key = "q7Rk2LmZ9xTw4VbN8sHd3JfG"
     for before in ("/home/sample/keys/", "01234567=", "123e4567-e89b-12d3-a456-426614174000_"):
