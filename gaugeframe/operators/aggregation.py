@@ -116,6 +116,41 @@ def regions_and_entities(
     return series(regions, region_col, "region").unionByName(series(entities, entity_col, "country"))
 
 
+def all_series(
+    df: DataFrame,
+    metric: str,
+    selected: Sequence[str],
+    region_col: str,
+    entity_col: str,
+    date_col: str,
+    composites: Sequence[CompositeRegion] = EUROPE_PARTS,
+    part: str = "Cumulative_deaths",
+    whole: str = "Cumulative_cases",
+    threshold: float = MIN_CASES,
+) -> DataFrame:
+    """A metric, or the guarded ratio, per date of countries, regions and split regions: (name, kind, date, metric) from one pass.
+
+    ``kind`` is country, region or split region. The three groupings are sets of one aggregation, so the table is read and shuffled
+    once; every task sends at most one row for each name of each kind and date. A missing name or date forms no group; in the split,
+    a missing region is the group that :func:`with_region_group` makes of it.
+    """
+    group = "_group"
+    while group in df.columns:
+        group += "_"
+    split = with_region_group(df, selected, region_col, entity_col, composites, group)
+    sums = [part, whole] if metric == "Fatality_rate" else [metric]
+    keys = [date_col, entity_col, region_col, group]
+    sets = split.groupingSets([[date_col, k] for k in keys[1:]], *keys)
+    found = sets.agg(F.grouping_id(*keys).alias("_set"), *[total(c).alias(c) for c in sums])
+    # bit by bit from the date to the split region, 1 where a column is not grouped by
+    kinds = {0b0011: (entity_col, "country"), 0b0101: (region_col, "region"), 0b0110: (group, "split region")}
+    name, kind = (F.coalesce(*[F.when(F.col("_set") == i, x(c, k)) for i, (c, k) in kinds.items()]) for x in (lambda c, k: F.col(c), lambda c, k: F.lit(k)))
+    named = found.select(name.alias("name"), kind.alias("kind"), date_col, *sums).dropna(subset=["name", date_col])
+    if metric != "Fatality_rate":
+        return named
+    return named.where(F.col(whole) >= threshold).withColumn(metric, percent(F.col(part), F.col(whole)))
+
+
 def extremes(ranked: DataFrame, name: str, metric: str) -> DataFrame:
     """Names with the highest and the lowest metric; equal metrics by name."""
     return ranked.agg(

@@ -248,6 +248,18 @@ add(
         SELECT name, kind, Date_reported, COALESCE(SUM(New_cases), 0) AS New_cases FROM split GROUP BY 1, 2, 3""",
 )
 
+_ALL_SERIES = f"""WITH kinds AS (SELECT Country AS name, 'country' AS kind, * FROM surveillance WHERE Country IS NOT NULL
+      UNION ALL SELECT WHO_region, 'region', * FROM surveillance WHERE WHO_region IS NOT NULL
+      UNION ALL SELECT {REGION_GROUP}, 'split region', * FROM surveillance)"""
+add(
+    "set_04_all_series_in_one_pass", "surveillance", lambda df: agg.all_series(df, "New_cases", BOTH, REGION, PLACE, DAY, PARTS),
+    _ALL_SERIES + " SELECT name, kind, Date_reported, COALESCE(SUM(New_cases), 0) AS New_cases FROM kinds WHERE Date_reported IS NOT NULL GROUP BY 1, 2, 3",
+)
+add(
+    "agg_07_all_rates_in_one_pass", "surveillance", lambda df: rounded(agg.all_series(df, "Fatality_rate", BOTH, REGION, PLACE, DAY, PARTS)),
+    _ALL_SERIES + " " + _RATIO_SQL.format(keys="name, kind, Date_reported", source="kinds", groups="1, 2, 3"),
+)
+
 
 # Latest rows and rankings
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeframe.functions.categories import (
     ACTIVITY_BINS,
@@ -28,7 +29,7 @@ from gaugeframe.operators import selection as sel
 from gaugeframe.plans.registry import add, add_over_tables, rounded
 from gaugeframe.plans.views import PARTS, PERIOD, SALES_ROW
 from gaugeframe.session import shared_folder
-from gaugeframe.sources.flatfiles import read_csv, read_table, write_csv
+from gaugeframe.sources.flatfiles import read_csv, read_csv_checked, read_table, write_csv
 
 BETWEEN = f"BETWEEN DATE '{PERIOD[0]}' AND DATE '{PERIOD[1]}'"
 IN_WEST = "WHO_region = 'EUROPE' AND Country IN ('NATION_3', 'NATION_8')"
@@ -70,6 +71,35 @@ add_over_tables(
               WHEN doc_id % 13 <> 0 THEN text END AS text FROM documents""",
 )
 
+def _checked_csv(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as lines of a file some of which lack a field, have one too many, or hold words where numbers and dates belong."""
+    key, names = F.col("o_orderkey"), ["o_orderkey", "order_day", "o_totalprice"]
+    day = F.when(key % 7 == 0, F.lit("n/a")).when(key % 11 == 0, F.lit("2020-13-45")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    price = F.when(key % 13 == 0, F.lit("unknown")).otherwise(F.format_string("%.2f", "o_totalprice"))
+    line = F.when(key % 17 == 0, F.concat_ws(",", key, day)).when(key % 19 == 0, F.concat_ws(",", key, day, price, F.lit("more"))).otherwise(F.concat_ws(",", key, day, price))
+    path = shared_folder(spark, "csv")
+    lines = read_table(spark, sf_dir, "orders").select(line.alias(",".join(names)))
+    lines.write.options(header=True, quote="", sep="\x01").csv(path)
+    return read_csv_checked(spark, path, T.StructType.fromDDL("o_orderkey long, order_day date, o_totalprice double"))
+
+
+_CHECKED_SQL = """WITH fields AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' WHEN o_orderkey % 11 = 0 THEN '2020-13-45'
+        ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day, CASE WHEN o_orderkey % 13 = 0 THEN 'unknown' ELSE printf('%.2f', o_totalprice) END AS price FROM orders),
+    judged AS (SELECT *, k % 17 = 0 OR k % 19 = 0 AS broken, day = '2020-13-45' AS bad_day, price = 'unknown' AS bad_price FROM fields)"""
+add_over_tables(
+    "src_01_checked_rows", lambda spark, sf_dir: _checked_csv(spark, sf_dir)[0],
+    _CHECKED_SQL + """ SELECT k AS o_orderkey, TRY_CAST(day AS DATE) AS order_day, price::DOUBLE AS o_totalprice FROM judged
+        WHERE NOT broken AND NOT bad_day AND NOT bad_price""",
+)
+add_over_tables(
+    "src_01_quarantine", lambda spark, sf_dir: _checked_csv(spark, sf_dir)[1].select("text", "reason"),
+    _CHECKED_SQL + """ SELECT CASE WHEN k % 17 = 0 THEN k || ',' || day WHEN k % 19 = 0 THEN k || ',' || day || ',' || price || ',more'
+          ELSE k || ',' || CASE WHEN day = 'n/a' THEN '' ELSE day END || ',' || price END AS text,
+        CASE WHEN broken THEN 'wrong number of fields' WHEN bad_day AND bad_price THEN 'order_day: no date; o_totalprice: no double'
+          WHEN bad_day THEN 'order_day: no date' ELSE 'o_totalprice: no double' END AS reason
+        FROM judged WHERE broken OR bad_day OR bad_price""",
+)
+
 
 # Cleaning
 

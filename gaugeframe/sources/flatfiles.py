@@ -54,15 +54,66 @@ def read_csv(
     return nan_to_null(known.select(*[_typed(c, types[c]) for c in known.columns]))
 
 
-def _typed(column: str, kind: T.DataType):
+def read_csv_checked(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    line_breaks: bool = False,
+    missing: Sequence[str] = MISSING,
+    least: float = 0.95,
+) -> tuple[DataFrame, DataFrame]:
+    """Header CSV as (rows, quarantine); together they hold every record of the files, each once.
+
+    ``rows`` are the records of which each field fits its column, read as :func:`read_csv` reads them. ``quarantine`` has ``file``,
+    ``text`` and ``reason`` of all others: those with too many or too few fields, as they stand in the file, and those with a
+    value that doesn't fit, their fields written as CSV again. A reason names each column that doesn't fit.
+
+    Without a schema, a column has the narrowest type that ``least`` of the known values fit, found by one pass over the records
+    with the right number of fields. A header that doesn't name the columns in order still stops the job.
+    """
+    names = schema.names if schema is not None else spark.read.options(header=True, multiLine=line_breaks, **_QUOTES).csv(path).columns
+    broken, file = _free(names, "broken"), _free(names, "file")
+    texts = T.StructType([T.StructField(c, T.StringType()) for c in [*names, broken]])
+    # Without column pruning the number of fields is judged alike, whatever columns are read later.
+    options = {"header": True, "multiLine": line_breaks, "nullValue": "\x00missing\x00", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken, "columnPruning": False}
+    found = spark.read.options(enforceSchema=False, **options, **_QUOTES).schema(texts).csv(path)
+    known = found.select(*[F.when(~F.col(f"`{c}`").isin(*missing), F.col(f"`{c}`")).alias(c) for c in names], broken, F.col("_metadata.file_path").alias(file))
+    if schema is not None:
+        types = {f.name: f.dataType for f in schema}
+    else:
+        types = _types(known.where(F.col(broken).isNull()).select(*[F.col(f"`{c}`") for c in names]), least)
+    # Always true, but names a field: Spark rejects queries of nothing but the column of broken records.
+    any_field = F.coalesce(F.length(F.col(f"`{names[0]}`")), F.lit(0)) >= 0
+    reasons = [F.when(F.col(broken).isNotNull() & any_field, F.lit("wrong number of fields"))]
+    for c in names:
+        if not isinstance(types[c], T.StringType):
+            value = F.trim(F.col(f"`{c}`"))
+            unfit = F.col(broken).isNull() & (value != "") & value.try_cast(types[c]).isNull()
+            reasons.append(F.when(unfit, F.lit(f"{c}: no {types[c].simpleString()}")))
+    reason = F.concat_ws("; ", *reasons)
+    fields = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in names]), {"nullValue": "", "emptyValue": '""', "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    rows = nan_to_null(known.where(reason == "").select(*[_typed(c, types[c], checked=True) for c in names]))
+    return rows, known.where(reason != "").select(F.col(file).alias("file"), F.coalesce(F.col(broken), fields).alias("text"), reason.alias("reason"))
+
+
+def _free(names: Sequence[str], name: str) -> str:
+    taken = {c.lower() for c in names}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _typed(column: str, kind: T.DataType, checked: bool = False):
     value = F.col(f"`{column}`")
     if isinstance(kind, T.StringType):
         return value.alias(column)
-    return F.when(F.trim(value) != "", F.trim(value)).cast(kind).alias(column)
+    known = F.when(F.trim(value) != "", F.trim(value))
+    return (known.try_cast(kind) if checked else known.cast(kind)).alias(column)
 
 
-def _types(text: DataFrame) -> dict[str, T.DataType]:
-    """The narrowest of whole number, number, truth value, date and time stamp that fits all known values, else text."""
+def _types(text: DataFrame, least: float = 1.0) -> dict[str, T.DataType]:
+    """The narrowest of whole number, number, truth value, date and time stamp that fits all known values, or the share ``least`` of
+    them, else text."""
     tries = [T.LongType(), T.DoubleType(), T.BooleanType(), T.DateType(), T.TimestampType()]
     counts = []
     for i, c in enumerate(text.columns):
@@ -71,7 +122,7 @@ def _types(text: DataFrame) -> dict[str, T.DataType]:
     row = text.agg(*counts).first()  # one row
     found: dict[str, T.DataType] = {}
     for i, c in enumerate(text.columns):
-        fits = [t for j, t in enumerate(tries) if row[f"{i}"] and row[f"{i}_{j}"] == row[f"{i}"]]
+        fits = [t for j, t in enumerate(tries) if row[f"{i}"] and row[f"{i}_{j}"] >= least * row[f"{i}"]]
         found[c] = fits[0] if fits else T.StringType()
     return found
 

@@ -17,7 +17,7 @@ SF_DIR = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 #: Queries that run jobs while they are built (fits, medians, points between chunks) or call Python on purpose.
 EAGER = {
-    "src_01_snk_01_csv_round_trip", "src_01_snk_01_text_round_trip", "cln_04_fill_medians", "cln_05_fill_forward_back", "cln_05_fill_whole_table",
+    "src_01_snk_01_csv_round_trip", "src_01_snk_01_text_round_trip", "src_01_checked_rows", "src_01_quarantine", "cln_04_fill_medians", "cln_05_fill_forward_back", "cln_05_fill_whole_table",
     "prf_02_describe", "prf_02_describe_dates", "prf_02_summary_of_any_columns", "der_11_zscores", "der_19_row_ordinal", "win_04_lags_of_raw_rows",
     "ml_01_feature_vector", "ml_03_linear_baseline", "ml_03_linear_per_product", "ml_06_error_figures", "ml_04_forest", "ml_05_boosted_trees", "ml_07_model_comparison",
     "top_06_models_by_rmse", "ml_08_scored_table", "ml_09_saved_models_compared", "ml_10_saved_and_found", "ml_11_feature_importance", "po_01_curve_by_period",
@@ -87,3 +87,11 @@ def test_hot_key_gives_the_same_group_maximum(spark):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert tuple(got) == (10_000, 29_997, 29_997)
+
+
+def test_all_series_come_from_one_scan_and_one_exchange(spark, tmp_path):
+    df = spark.range(100).selectExpr("concat('c', id % 9) as c", "concat('r', id % 3) as r", "date'2020-01-01' as d", "id as v")
+    df.write.parquet(str(tmp_path / "t"))
+    plan = plan_of(agg.all_series(spark.read.parquet(str(tmp_path / "t")), "v", ["r1"], "r", "c", "d"))
+    assert len(re.findall(r"FileScan", plan)) == 1 and len(re.findall(r"\bExchange", plan)) == 1
+    assert plan.index("Exchange") < plan.index("partial_sum")

@@ -62,3 +62,25 @@ def test_lineage_is_cut_in_the_checkpoint_folder(spark):
     assert cut_lineage(spark.range(5)).count() == 5
     ensure_checkpoint_dir(spark)
     assert spark.sparkContext.getCheckpointDir() == folder
+
+
+def test_ragged_and_mistyped_records_are_set_apart(spark, tmp_path):
+    """Typed rows and quarantine add up to the file, whatever is read of them."""
+    lines = ["1,Oslo,1.5", "2,Lima", "3,Rome,2.5,x", "four,Bern,3.5", '5,"a ""b"", c",warm', "NA,,", "7, Bonn ,NaN", '8,"",9.5', "x,y,z"]
+    (tmp_path / "f").mkdir()
+    for i, part in enumerate((lines[:4], lines[4:])):
+        (tmp_path / "f" / f"{i}.csv").write_text("\n".join(["n,city,broken", *part]) + "\n")
+    good, bad = flatfiles.read_csv_checked(spark, str(tmp_path / "f"), flatfiles.T.StructType.fromDDL("n long, city string, broken double"))
+    assert rows(good, "n") == [(None, None, None), (1, "Oslo", 1.5), (7, " Bonn ", None), (8, "", 9.5)]
+    found = {r.text: (r.file.rsplit("/", 1)[1], r.reason) for r in bad.collect()}
+    assert found == {
+        "2,Lima": ("0.csv", "wrong number of fields"), "3,Rome,2.5,x": ("0.csv", "wrong number of fields"), "four,Bern,3.5": ("0.csv", "n: no bigint"),
+        '5,"a ""b"", c",warm': ("1.csv", "broken: no double"), "x,y,z": ("1.csv", "n: no bigint; broken: no double"),
+    }
+    assert good.count() + bad.count() == len(lines) and good.select("city").count() == 4 and bad.select("reason").count() == 5
+    inferred, rest = flatfiles.read_csv_checked(spark, str(tmp_path / "f"), least=0.6)
+    assert dict(inferred.dtypes) == {"n": "bigint", "city": "string", "broken": "double"} and rest.count() == 5
+    strict, none = flatfiles.read_csv_checked(spark, str(tmp_path / "f"), least=1.0)
+    assert dict(strict.dtypes)["n"] == "string" and none.count() == 2 and strict.count() == 7
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        flatfiles.read_csv_checked(spark, str(tmp_path / "f"), flatfiles.T.StructType.fromDDL("city string, n long, broken double"))[0].collect()
