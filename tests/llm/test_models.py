@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeframe.llm import chat, common, learned_partitions, metric_tree, quality, queries, sentencepiece
+from gaugeframe.llm import chat, common, learned_partitions, metric_tree, mixing, quality, queries, sentencepiece
 
 SF_DIR = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -346,3 +346,18 @@ def test_pipeline_stages(spark, tmp_path, library):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "e" / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "e" / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "e")).collect() == []
+
+
+def test_mixture_stage_counts_copies_by_row(spark):
+    """Rows that share an id, or have none, and rows that agree in all columns: the words that come out are those of the plan."""
+    import corpus_pipeline
+
+    rows = [(None if i % 2 else i // 10, f"w{i // 4} word " * (1 + i % 3), "en", "a" if i < 500 else "b", i % 5) for i in range(600)]
+    rows += [(None, "same words", "en", "a", 1)] * 200 + [(None, None, None, None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, times long")
+    out = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    plan = {r.source: r for r in mixing.mix(docs).select("source", "source_size", "target").distinct().collect()}
+    for source in "ab":
+        mine = sum(len((r.text or "").split()) for r in out if r.source == source)
+        assert 0 <= plan[source].target - mine < 7
+    assert sum(r.text is None for r in out) >= 3 and set(map(str, out)) <= set(map(str, docs.collect()))
