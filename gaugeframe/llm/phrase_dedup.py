@@ -5,20 +5,22 @@
    phrase anchors, a piece around a very common phrase has only words that are as common.
 2. Anchors that occur once cannot be in a repeated window. Those that occur more often are kept in a bit table of fixed size;
    bits shared by chance only add candidates.
-3. The candidate pieces go to shards by anchor, so all equal windows meet in one shard. There, the repeated windows are
-   confirmed on the words themselves, and maximal runs of them are the recurring passages of the shard.
-4. Each shard compiles its passages to an Aho-Corasick automaton over words and streams its pieces through it, which locates
-   every occurrence. The words covered come back to the documents by the digest of the text.
-
-A piece is shuffled once for each batch of rows that has it and kept once in a shard, however many copies there are. The number
-of shards follows the number of pieces, so a shard's memory doesn't grow with the data.
+3. The candidate pieces, without places, go to shards by anchor, so all equal windows meet in one shard. There, the repeated
+   windows are confirmed on the words themselves; maximal runs of them are the recurring passages.
+4. Texts with a candidate anchor (no other can hold a passage) are dealt into blocks by their digest. A block gets the passages
+   of its texts' pieces, compiles them to an Aho-Corasick automaton over words and streams its whole texts through it. Only
+   these occurrences say which words go; they come back to the documents by the digest of the text.
+
+A piece is shuffled once for each batch of rows that has it and kept once in a shard, however many copies there are; a text
+streams once for each task that read a copy, a passage once for each block that needs it. Shards follow the number of pieces
+and blocks the bytes of text, so neither's memory grows with the data.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -33,6 +35,7 @@ PHRASE = 8
 TABLE_BITS = 20
 FILTER_BITS = 26
 SHARD_PIECES = 15_000
+BLOCK_BYTES = 1 << 20
 _SLICE = 1 << 16
 
 
@@ -100,10 +103,12 @@ def repeated_anchors(df: DataFrame, text: str, counts, size: int, bits: int) ->
     return one_table(often, fill, 1 << (bits - 3), np.uint8, np.bitwise_or)
 
 
-def candidate_pieces(df: DataFrame, text: str, counts, bits, size: int) -> DataFrame:
-    """(piece, mark, words, n, texts, places): pieces with a repeated anchor, once for each batch of rows, with the number
-    of their occurrences there, and the texts (by digest) and word numbers where they begin."""
+def candidates(df: DataFrame, text: str, counts, bits, size: int) -> DataFrame:
+    """(name, mark, words, n, homes): pieces with a repeated anchor, once for each batch of rows, with the number of their
+    occurrences there and the first eight bytes of the digests of the texts they are in; and with a null mark and its number
+    of bytes each text that has one, once for each task unless a task has very many."""
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
         for batch in W.pieces(batches, text):
             raw, starts, ends, first, hashes = _words_of(batch.column(text))
             marks, place, window = anchors(hashes, first, counts.value, size)
@@ -119,98 +124,136 @@ def candidate_pieces(df: DataFrame, text: str, counts, bits, size: int) -> DataF
             begin, end = begin[keep], end[keep]
             whole, digests = raw.tobytes(), {}
             row = np.searchsorted(first, window[begin], "right") - 1
-            lists: dict[bytes, list] = {}
+            entries: dict[bytes, list] = {}
             column = batch.column(text)
             low, high = starts[window[begin]].tolist(), ends[window[end] + size - 1].tolist()
-            at = (window[begin] - first[row]).tolist()
             for i, r in enumerate(row.tolist()):
                 words = b" ".join(whole[low[i] : high[i]].split())
                 name = hashlib.blake2b(words, digest_size=16).digest()
                 if r not in digests:
                     digests[r] = hashlib.md5(column[r].as_py().encode()).digest()
-                entry = lists.setdefault(name, [int(marks[begin[i]].view(np.int64)), words.decode(), 0, set()])
+                entry = entries.setdefault(name, [int(marks[begin[i]].view(np.int64)), words.decode(), 0, set()])
                 entry[2] += 1
-                entry[3].add((digests[r], at[i]))
-            if lists:
-                entries = list(lists.values())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(lists), pa.binary()), pa.array([e[0] for e in entries], pa.int64()), pa.array([e[1] for e in entries], pa.string()), pa.array([e[2] for e in entries], pa.int64()),
-                     pa.array([[d for d, _ in e[3]] for e in entries], pa.list_(pa.binary())), pa.array([[p for _, p in e[3]] for e in entries], pa.list_(pa.int32()))],
-                    ["piece", "mark", "words", "n", "texts", "places"])
+                entry[3].add(_home(digests[r]))
+            rows = [(name, mark, words, n, list(homes)) for name, (mark, words, n, homes) in entries.items()]
+            for r, digest in digests.items():
+                if digest not in sent:
+                    if len(sent) >= _SLICE:
+                        sent.clear()
+                    sent.add(digest)
+                    whole_text = column[r].as_py()
+                    rows.append((digest, None, whole_text, len(whole_text), [_home(digest)]))
+            if rows:
+                kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], ["name", "mark", "words", "n", "homes"])
+
+    return df.mapInArrow(found, "name binary, mark long, words string, n long, homes array<long>")
 
-    return df.mapInArrow(found, "piece binary, mark long, words string, n long, texts array<binary>, places array<int>")
 
+def _home(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
 
-def passages(pieces: list[list[int]], times: list[int], size: int) -> list[tuple[int, ...]]:
-    """Confirmed recurring passages: maximal runs of windows that occur twice or more, as sequences of word numbers."""
+
+def passages(pieces: list[list[int]], times: list[int], size: int) -> list[list[tuple[int, int]]]:
+    """Confirmed recurring passages of each piece: maximal runs of windows that occur twice or more, as word intervals."""
     seen: Counter = Counter()
     keys = [[tuple(p[i : i + size]) for i in range(len(p) - size + 1)] for p in pieces]
     for own, n in zip(keys, times):
         for k in own:
             seen[k] += n
-    out = set()
-    for p, own in zip(pieces, keys):
-        start = None
+    out = []
+    for own in keys:
+        runs, start = [], None
         for i, k in enumerate([*own, None]):
             if k is not None and seen[k] > 1:
                 start = i if start is None else start
             elif start is not None:
-                out.add(tuple(p[start : i - 1 + size]))
+                runs.append((start, i - 1 + size))
                 start = None
-    return sorted(out)
-
-
-def located(pieces: list[list[int]], found: list[tuple[int, ...]]) -> list[list[tuple[int, int]]]:
-    """Word intervals of each piece that occurrences of the passages cover, by one automaton over all passages."""
-    if not found:
-        return [[] for _ in pieces]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for p in found:
-        automaton.add_word(p, len(p))
-    automaton.make_automaton()
-    out = []
-    for piece in pieces:
-        spans: list[list[int]] = []
-        for end, length in automaton.iter(tuple(piece)):
-            a, b = end - length + 1, end + 1
-            while spans and a <= spans[-1][1]:  # by end: earlier spans may lie inside
-                a = min(a, spans.pop()[0])
-            spans.append([a, b])
-        out.append([(a, b) for a, b in spans])
+        out.append(runs)
     return out
 
 
-def covered(pieces: DataFrame, shards: int, size: int) -> DataFrame:
-    """(piece, spans) of the pieces in which recurring passages were located."""
+def confirmed(pieces: DataFrame, shards: int, size: int) -> DataFrame:
+    """(name, passages) of the pieces that hold recurring passages, as words joined by spaces."""
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[str, int] = {}
         known: dict[bytes, int] = {}
         rows: list[list[int]] = []
         times: list[int] = []
         for batch in batches:
-            for name, words, n in zip(*(batch.column(c).to_pylist() for c in ("piece", "words", "n"))):
+            for name, words, n in zip(*(batch.column(c).to_pylist() for c in ("name", "words", "n"))):
                 if name in known:
                     times[known[name]] += n
                 else:
                     known[name] = len(rows)
-                    rows.append([number.setdefault(w, len(number) + 1) for w in words.split(" ")])
+                    rows.append([number.setdefault(w, len(number)) for w in words.split(" ")])
                     times.append(n)
-        spans = located(rows, passages(rows, times, size))
-        some = [(name, s) for name, s in zip(known, spans) if s]
-        for a in range(0, len(some), 10_000):
-            part = some[a : a + 10_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name for name, _ in part], pa.binary()), pa.array([[{"low": a, "high": b} for a, b in s] for _, s in part], pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))],
-                ["piece", "spans"])
-
-    return pieces.select("piece", "mark", "words", "n").repartition(shards, "mark").mapInArrow(shard, "piece binary, spans array<struct<low: int, high: int>>")
+        spelled = list(number)
+        some = [(name, row, runs) for name, row, runs in zip(known, rows, passages(rows, times, size)) if runs]
+        for a in range(0, len(some), 1_000):
+            part = some[a : a + 1_000]
+            texts = [[" ".join(spelled[w] for w in row[low:high]) for low, high in runs] for _, row, runs in part]
+            yield pa.RecordBatch.from_arrays([pa.array([name for name, *_ in part], pa.binary()), pa.array(texts, pa.list_(pa.string()))], ["name", "passages"])
+
+    return pieces.select("name", "mark", "words", "n").repartition(shards, "mark").mapInArrow(shard, "name binary, passages array<string>")
+
+
+class Phrases:
+    """An Aho-Corasick automaton over the words of passages."""
+
+    def __init__(self, passages: Iterable[str]):
+        self.number: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for passage in passages:
+            words = tuple(self.number.setdefault(w, len(self.number) + 1) for w in passage.encode().split())
+            self.automaton.add_word(words, len(words))
+        if self.number:
+            self.automaton.make_automaton()
+
+    def located(self, text: str) -> list[tuple[int, int]]:
+        """Word intervals that occurrences of the passages cover, united where they meet."""
+        if not self.number:
+            return []
+        spans: list[tuple[int, int]] = []
+        for end, length in self.automaton.iter(tuple(self.number.get(w, 0) for w in text.encode().split())):
+            a, b = end - length + 1, end + 1
+            while spans and a <= spans[-1][1]:  # by end: earlier spans may lie inside
+                a = min(a, spans.pop()[0])
+            spans.append((a, b))
+        return spans
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 35, filter_bits: int = FILTER_BITS, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def occurrences(blocks: DataFrame) -> DataFrame:
+    """(digest, gone) of the texts in which passages were located. ``blocks`` has (block, digest, words), every block in one
+    partition and in order, its passages (null digest) before its texts; a block's passages are all that a task keeps."""
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, last, phrases, found = None, None, set(), None
+        for batch in batches:
+            out = []
+            for own, digest, words in zip(*(batch.column(c).to_pylist() for c in ("block", "digest", "words"))):
+                if own != block:
+                    block, last, phrases, found = own, None, set(), None
+                if digest is None:
+                    phrases.add(words)
+                elif digest != last:
+                    found = found or Phrases(phrases)
+                    phrases, last = set(), digest
+                    if spans := found.located(words):
+                        out.append((digest, spans))
+            if out:
+                spans = pa.array([[{"low": a, "high": b} for a, b in s] for _, s in out], pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.binary()), spans], ["digest", "gone"])
+
+    return blocks.mapInArrow(stream, "digest binary, gone array<struct<low: int, high: int>>")
+
+
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 35, filter_bits: int = FILTER_BITS, shard_pieces: int = SHARD_PIECES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, n_words, n_removed, kept) of every row: the words that no repeated window of ``size`` words covers, joined by spaces.
 
     Windows are judged on the input: of a passage that repeats, no occurrence stays, nor of a repeated row. Null and empty texts
-    and those with fewer words than a window lose nothing. Other columns are not read.
+    and those with fewer words than a window lose nothing; an empty table gives an empty result. A very long text streams whole
+    through its block's automaton. Other columns are not read.
     """
     if size < 2 * PHRASE:
         raise ValueError(f"windows have at least {2 * PHRASE} words")
@@ -219,12 +262,17 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     counts = share(phrase_counts(only, "text"))
     bits = share(repeated_anchors(only, "text", counts, size, filter_bits))
     scratch = Scratch(df.sparkSession)
-    pieces = scratch.written(candidate_pieces(only, "text", counts, bits, size), "pieces")
-    spans = scratch.written(covered(pieces, 1 + pieces.count() // shard_pieces, size), "spans")
-    places = pieces.select("piece", F.explode(F.arrays_zip("texts", "places")).alias("o")).select("piece", F.col("o.texts").alias("digest"), F.col("o.places").alias("place")).distinct()
-    hits = places.join(spans, "piece").select("digest", F.explode(F.transform("spans", lambda s: F.struct((s["low"] + F.col("place")).alias("low"), (s["high"] + F.col("place")).alias("high")))).alias("span"))
-    gone = scratch.written(hits.groupBy("digest").agg(F.collect_set("span").alias("gone")), "gone")  # bounded by the length of the text
-    scratch.drop(pieces, spans)
+    found = scratch.written(candidates(only, "text", counts, bits, size), "candidates")
+    pieces, texts = found.where("mark is not null"), found.where("mark is null")
+    passage = scratch.written(confirmed(pieces, 1 + pieces.count() // shard_pieces, size), "passages")
+    blocks = 1 + (texts.agg(F.sum("n")).first()[0] or 0) // block_bytes
+    block = F.pmod("home", F.lit(blocks)).alias("block")
+    needed = pieces.select("name", F.explode("homes").alias("home")).select("name", block).distinct().join(passage, "name")
+    stream = needed.select("block", F.lit(None).cast("binary").alias("digest"), F.explode("passages").alias("words")).union(
+        texts.select(F.pmod(F.col("homes")[0], F.lit(blocks)), "name", "words"))
+    # nulls, the passages, come first; equal texts follow one another
+    gone = scratch.written(occurrences(stream.repartition(blocks, "block").sortWithinPartitions("block", "digest")), "gone")
+    scratch.drop(found, passage)
     rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), F.unhex(F.md5(F.col(f"`{text}`").cast("binary"))).alias("digest"))
     kind = rows.schema["id"].dataType.simpleString()
 

@@ -152,11 +152,28 @@ def test_remove_repeats(spark, size):
         docs.append("\n".join(rng.choice([some(rng.randrange(60)), rng.choice(shared)]) for _ in range(rng.randrange(5))))
     docs += [docs[-1], docs[-2], shared[0] + " " + shared[0]]
     docs = list(enumerate(docs))
-    got = phrase_dedup.remove_repeats(table(spark, [*docs, (None, docs[-1][1])]), size=size, filter_bits=10, shard_pieces=20).collect()
+    got = phrase_dedup.remove_repeats(table(spark, [*docs, (None, docs[-1][1])]), size=size, filter_bits=10, shard_pieces=20, block_bytes=2_000).collect()
     assert sorted(map(tuple, got), key=str) == removed([*docs, (None, docs[-1][1])], size)
     assert phrase_dedup.remove_repeats(table(spark, docs).limit(0), size=size).collect() == []
 
 
+def test_passages_are_located_by_the_automaton():
+    """Also outside the piece that named them, inside one another and overlapping; without passages nothing is found."""
+    found = phrase_dedup.Phrases(["a b c", "b c d e", "c"])
+    assert found.located("x a b c y\tb c d e\nz c c") == [(1, 4), (5, 9), (10, 12)]
+    assert found.located("a b c d e") == [(0, 5)] and found.located("A B") == found.located("") == []
+    assert phrase_dedup.Phrases([]).located("a b c") == []
+    assert phrase_dedup.passages([[1, 2, 3, 4], [2, 3, 4, 5], [7, 7, 7]], [1, 1, 1], 2) == [[(1, 4)], [(0, 3)], [(0, 3)]]
+
+
+def test_blocks_keep_their_own_passages(spark):
+    """Texts of another block aren't searched for a passage, equal texts once."""
+    rows = [(0, None, "a b"), (0, b"1", "a b c a b"), (0, b"1", "a b c a b"), (1, b"2", "a b"), (2, None, "c"), (2, b"3", "d"), (2, b"4", "c d")]
+    blocks = spark.createDataFrame(rows, "block long, digest binary, words string").coalesce(1)
+    got = [(bytes(r.digest), [tuple(s) for s in r.gone]) for r in phrase_dedup.occurrences(blocks).collect()]
+    assert got == [(b"1", [(0, 2), (3, 5)]), (b"4", [(0, 1)])]
+
+
 BASES = {"assign": r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
 
 
