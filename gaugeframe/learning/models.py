@@ -6,6 +6,7 @@ error figures per model reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeframe.learning import binned
 from gaugeframe.operators.aggregation import grouped
 from gaugeframe.operators.cleaning import medians, numeric_columns
 from gaugeframe.session import cut_lineage
@@ -24,6 +26,8 @@ PREDICTION = "prediction"
 VECTOR = "_vector"
 BUCKETS = 10_000
 PARTITIONS = 16
+#: Rows up to which trees are fitted on the rows themselves, and bytes of such rows per partition.
+ROWS_AT_ONCE, PARTITION_BYTES = 1_000_000, 1 << 26
 
 
 def feature_columns(df: DataFrame, target: str, features: Sequence[str] | None = None) -> list[str]:
@@ -75,11 +79,19 @@ def _spread(rows: DataFrame, partitions: int) -> DataFrame:
     return rows.repartition(partitions, *rows.columns).sortWithinPartitions(*rows.columns)
 
 
-def fit(df: DataFrame, target: str, features: Sequence[str], kind: str, partitions: int = PARTITIONS, **params) -> PipelineModel:
+def _partitions(n: int, trees: int, least: int) -> int:
+    """Partitions for ``n`` rows: Spark keeps some 200 bytes of a row, and a number for each tree that draws rows."""
+    return max(least, math.ceil(n * (200 + 4 * trees) / PARTITION_BYTES))
+
+
+def fit(
+    df: DataFrame, target: str, features: Sequence[str], kind: str, partitions: int = PARTITIONS, rows_at_once: int = ROWS_AT_ONCE, **params
+) -> PipelineModel:
     """Fit on the rows with a known target; missing features have to be filled before.
 
-    Tree models pass over their rows many times, so these are spread over ``partitions`` and kept for the fit. Bagging
-    depends on the partitions: give large data more of them, and the same number for the same model.
+    Tree models pass over their rows many times. Up to ``rows_at_once`` rows are spread over ``partitions`` and kept for the fit; more are
+    aggregated to cells of binned features first. If that leaves too many cells, the rows themselves are spread, over
+    as many partitions as their number needs. Bagging depends on the partitions: give the same number for the same model.
     """
     learner = regressor(kind, **params).setLabelCol(target)
     assembler = VectorAssembler(inputCols=list(features), outputCol=VECTOR)
@@ -87,11 +99,21 @@ def fit(df: DataFrame, target: str, features: Sequence[str], kind: str, partitio
     pipeline = Pipeline(stages=[assembler, learner])
     if kind == "linear":
         return pipeline.fit(rows)
-    kept = _spread(rows, partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return pipeline.fit(kept)
+        n = rows.count()
+        if n > rows_at_once:
+            model = binned.fit(rows, n, target, features, learner)
+            if model is not None:
+                return model
+            partitions = _partitions(n, learner.getNumTrees() if kind == "forest" else 0, partitions)
+        kept = _spread(rows, partitions).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return pipeline.fit(kept)
+        finally:
+            kept.unpersist()
     finally:
-        kept.unpersist()
+        rows.unpersist()
 
 
 def inputs_of(model: PipelineModel) -> list[str]:
@@ -99,7 +121,7 @@ def inputs_of(model: PipelineModel) -> list[str]:
 
 
 def predict(df: DataFrame, model: PipelineModel, name: str = PREDICTION) -> DataFrame:
-    out = model.transform(df).drop(VECTOR)
+    out = model.transform(df).drop(VECTOR, *[binned.bin_name(c) for c in inputs_of(model)])
     return out if name == PREDICTION else out.withColumnRenamed(PREDICTION, name)
 
 
@@ -114,11 +136,9 @@ def score(df: DataFrame, model: PipelineModel) -> DataFrame:
     The input columns themselves stay as they were.
     """
     used = inputs_of(model)
-    stand_ins = {c: f"_in_{c}" for c in used}
-    filled = fill_features(df.withColumns({s: F.col(c) for c, s in stand_ins.items()}),
-                           {stand_ins[c]: m for c, m in medians(df, used).items()})
-    assembler = VectorAssembler(inputCols=[stand_ins[c] for c in used], outputCol=VECTOR)
-    return model.stages[-1].transform(assembler.transform(filled)).drop(VECTOR, *stand_ins.values())
+    kept = {c: f"_in_{c}" for c in used}
+    filled = fill_features(df.withColumns({k: F.col(c) for c, k in kept.items()}), medians(df, used))
+    return predict(filled, model).withColumns({c: F.col(k) for c, k in kept.items()}).drop(*kept.values())
 
 
 def error_figures(df: DataFrame, target: str, predictions: Mapping[str, str]) -> DataFrame:
