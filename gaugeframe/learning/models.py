@@ -203,6 +203,7 @@ def compare_models(
     for i, (name, model) in enumerate(models.items()):
         columns[name] = f"prediction_{i}"
         scored = predict(scored, model, columns[name])
+    scored = cut_lineage(scored)  # each row is predicted once
     figures = error_figures(scored, target, columns).orderBy("RMSE", "model")
     return Comparison(models, scored, figures, skipped)
 

@@ -104,7 +104,8 @@ def _one_model(df: DataFrame, kind: str, **params) -> DataFrame:
     """Fit on the training rows; one prediction per test row, better than their mean."""
     flagged = cut_lineage(_train(df).select(*FEATURES, TARGET, "is_test"))
     model = ml.fit(flagged.where(~F.col("is_test")), TARGET, FEATURES, kind, **params)
-    predicted = ml.predict(flagged.where("is_test"), model)
+    # Written once, as a forest's prediction costs more than the row: both figures read it.
+    predicted = cut_lineage(ml.predict(flagged.where("is_test"), model).select(TARGET, ml.PREDICTION))
     figures = ml.error_figures(predicted, TARGET, {kind: ml.PREDICTION})
     return figures.select("model", (F.col("R2") > 0).alias("better_than_mean"), predicted.agg(F.count(ml.PREDICTION)).scalar().alias("n"))
 
