@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gaugeframe.learning import binned
 from gaugeframe.learning import models as ml
+from gaugeframe.plans import learning
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +63,44 @@ def test_partitions_follow_the_rows_where_cells_do_not_pay(noisy):
     assert ml._partitions(200_000_000, 100, 16) * ml.PARTITION_BYTES >= 200_000_000 * 600
     model = ml.fit(noisy, "profit", ["price", "size"], "boosted", bins=128, rows_at_once=100, trees=2, depth=3)
     assert len(model.stages) == 2
+
+
+def test_boosted_trees_read_cells_whose_number_does_not_grow_with_the_rows(noisy, monkeypatch):
+    """Three times the rows reach the learner as the same cells, with three times the weight."""
+    seen, plain_fit = [], binned.GBTRegressor.fit
+
+    def fit(self, cells, *more):
+        seen.append(cells.agg(F.count(F.lit(1)), F.sum("_weight")).first())
+        return plain_fit(self, cells, *more)
+
+    monkeypatch.setattr(binned.GBTRegressor, "fit", fit)
+    models = [
+        ml.fit(rows, "profit", ["price", "size"], "boosted", bins=16, rows_at_once=100, trees=3, depth=3)
+        for rows in (noisy, noisy.union(noisy).union(noisy))
+    ]
+    (cells, weight), (cells_thrice, weight_thrice) = seen
+    assert cells == cells_thrice <= 2 * 16 * 6 and (weight, weight_thrice) == (4_000, 12_000)
+    sums = [ml.predict(noisy, m).agg(F.sum("prediction")).first()[0] for m in models]
+    assert sums[1] == pytest.approx(sums[0])
+
+
+@pytest.fixture(scope="module")
+def few_sales(spark):
+    """Sales rows with missing prices and quantities, some of them twice."""
+    rng = np.random.default_rng(3)
+    data = []
+    for i in range(2_000):
+        price, quantity = float(rng.uniform(1, 10)), float(rng.integers(1, 6))
+        profit = price * quantity + float(rng.normal())
+        data.append((i, i % 3, i % 11, i % 7, None if i % 40 == 0 else price, None if i % 50 == 0 else quantity, profit))
+    names = "row_key long, row_line int, row_part long, row_supp long, list_price double, quantity double, profit double"
+    return spark.createDataFrame(data + data[:300], names).cache()
+
+
+def _is_test(rows):
+    return [r for r in rows if (r.row_key + r.row_line + r.row_part + r.row_supp) % 100 < 20]
+
+
+def test_boosted_query_of_many_rows_predicts_every_test_row(few_sales):
+    got = learning._one_model(few_sales, "boosted", trees=8, depth=3, bins=8, rate=0.3, rows_at_once=100).collect()
+    assert [tuple(r) for r in got] == [("boosted", True, len(_is_test(few_sales.collect())))]
