@@ -104,3 +104,17 @@ def _is_test(rows):
 def test_boosted_query_of_many_rows_predicts_every_test_row(few_sales):
     got = learning._one_model(few_sales, "boosted", trees=8, depth=3, bins=8, rate=0.3, rows_at_once=100).collect()
     assert [tuple(r) for r in got] == [("boosted", True, len(_is_test(few_sales.collect())))]
+
+
+def test_comparison_of_many_rows_fits_its_forest_on_cells(few_sales):
+    forest = {"trees": 5, "depth": 4}
+    plain, found = (
+        ml.compare_models(few_sales, "profit", ml.modulus_bucket(learning.SALES_ROW), ["list_price"], forest=forest | more)
+        for more in ({}, {"rows_at_once": 100})
+    )
+    assert found.models["RandomForest"].stages[-1].getNumTrees == 5
+    assert [len(c.models["RandomForest"].stages) for c in (plain, found)] == [2, 3]
+    assert found.scored.count() == len(_is_test(few_sales.collect()))
+    before, after = ({r.model: r for r in c.figures.collect()} for c in (plain, found))
+    assert after["LinearRegression"] == before["LinearRegression"]
+    assert after["RandomForest"].R2 == pytest.approx(before["RandomForest"].R2, abs=0.05)
