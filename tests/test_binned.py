@@ -118,3 +118,19 @@ def test_comparison_of_many_rows_fits_its_forest_on_cells(few_sales):
     before, after = ({r.model: r for r in c.figures.collect()} for c in (plain, found))
     assert after["LinearRegression"] == before["LinearRegression"]
     assert after["RandomForest"].R2 == pytest.approx(before["RandomForest"].R2, abs=0.05)
+
+
+def test_saved_models_are_compared_beside_a_forest_of_many_rows(few_sales, tmp_path):
+    """A model of cells is saved and loaded like any other; its inputs, not its bins, decide whether it is skipped."""
+    for name, features in (("by_price", ["list_price"]), ("by_both", ["list_price", "quantity"])):
+        filled = ml.fill_features(few_sales, ml.medians(few_sales, features))
+        ml.save_model(ml.fit(filled, "profit", features, "boosted", bins=8, rows_at_once=100, trees=3, depth=3), str(tmp_path), name)
+    names = ml.saved_model_names(few_sales.sparkSession, str(tmp_path))
+    saved = {n: ml.load_model(str(tmp_path), n) for n in names}
+    forest = {"trees": 3, "depth": 4, "rows_at_once": 100}
+    found = ml.compare_models(few_sales, "profit", ml.modulus_bucket(learning.SALES_ROW), ["list_price"], saved=saved, forest=forest)
+    assert names == ["by_both", "by_price"] and found.skipped == ["by_both"]
+    figures = {r.model: r for r in found.figures.collect()}
+    assert set(figures) == {"LinearRegression", "RandomForest", "by_price"}
+    assert found.scored.where("prediction_0 is null or prediction_1 is null or prediction_2 is null").isEmpty()
+    assert all(r.R2 > 0.2 for r in figures.values())
